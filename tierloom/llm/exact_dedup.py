@@ -19,10 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierloom.llm.common import SPACE, partitions, written
+from tierloom.llm.common import SPACE, join_groups, partitions, written
 
-#: A group with at least one row in HEAVY of the corpus is heavy; there can't be more than HEAVY such groups.
-HEAVY = 1024
 KEY = ["digest", "norm_bytes"]
 RUN = "digest binary, norm_bytes bigint, n_chars_neg bigint, doc_id bigint, uid bigint, n bigint"
 
@@ -47,9 +45,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of sorted entries, keep the first of each digest, with the sum of n; a digest may go on over batches."""
     held: pa.Table | None = None
     for batch in batches:
-        t = pa.Table.from_batches([batch]).combine_chunks()
-        if not t.num_rows:
+        if not batch.num_rows:
             continue
+        t = pa.Table.from_batches([pa.RecordBatch.from_arrays(batch.columns, batch.schema.names)])
         if held is not None:
             t = pa.concat_tables([held, t]).combine_chunks()
         d, b = t["digest"], t["norm_bytes"]
@@ -104,10 +102,7 @@ def exact_groups(docs: DataFrame, uid: str | None = None) -> DataFrame:
     groups = written(
         tree_merge(dig).select(*KEY, F.col("doc_id").alias("keep_id"), F.col("uid").alias("keep_uid"), F.col("n").alias("group_size")), "groups"
     )
-    heavy = F.col("group_size") * HEAVY >= n
-    hot, rest = F.broadcast(groups.filter(heavy)), groups.filter(~heavy)
-    # the rows of heavy groups meet at most HEAVY entries; the others, whose groups are small, shuffle by digest
-    rows = dig.join(hot, KEY).unionByName(dig.join(hot.select(*KEY), KEY, "left_anti").join(rest, KEY))
+    rows = join_groups(dig, groups, KEY, "group_size", n)
     return rows.select(
         "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "uid"
     )
