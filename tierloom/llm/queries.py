@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierloom.llm import exact_dedup, mixing, simhash
+from tierloom.llm import ann, exact_dedup, mixing, quality, simhash, url_filter
 from tierloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,11 +24,26 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op3_simhash": op3_simhash,
         "op5_mix_sources": op5_mix_sources,
+        "op6_quality": op6_quality,
+        "op9_nearest": op9_nearest,
+        "op10_url_filter": op10_url_filter,
     }
 
 
@@ -76,4 +91,4 @@ FROM c JOIN b USING (sn, src, j)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op5_mix_sources": OP5_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_mix_sources": OP5_SQL, "op10_url_filter": url_filter.sql()}
