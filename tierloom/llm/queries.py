@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierloom.llm import ann, bpe, exact_dedup, mixing, quality, simhash, token_counts, url_filter
+from tierloom.llm import ann, bpe, ctw, exact_dedup, html_text, mixing, quality, simhash, token_counts, url_filter
 from tierloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scored(table(spark, sf_dir, "documents"))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -58,6 +66,8 @@ def queries() -> dict[str, Query]:
         "op4_token_counts": op4_token_counts,
         "op5_mix_sources": op5_mix_sources,
         "op6_quality": op6_quality,
+        "op7_html_text": op7_html_text,
+        "op8_lm_score": op8_lm_score,
         "op9_nearest": op9_nearest,
         "op10_url_filter": op10_url_filter,
         "pipeline": pipeline,
