@@ -2,7 +2,9 @@
 
 A text is its words (lower-cased), each with a space after it, and an end mark; so texts and token sequences are one to
 one. A byte is eight binary decisions, each with a context tree of its own over the bytes of the same word before it, up
-to DEPTH; before a word's start the context is padded. A node of a tree counts zeros and ones over all training
+to DEPTH; before a word's start the context is the text's class, again and again. A text's class is the one of a few
+commonest short words that it has most of, and is sent ahead of the text, at the cost of one even choice; so the trees
+tell languages and styles apart where that pays. A node of a tree counts zeros and ones over all training
 tokens; its Krichevsky-Trofimov estimate and the product of its children's weighted probabilities are mixed half and
 half, at all depths from the leaves to the root. A prediction mixes the estimates along the context by the weights that
 the counts have given them; contexts that training hasn't seen have no node, and the path ends above them.
@@ -28,6 +30,10 @@ DEPTH = 7
 #: The depth of the subtrees' roots.
 CUT = 2
 END = b"\n"
+#: Bytes that no word has: one a class, the first for texts without any of the short words.
+CLASSES = bytes([0xF5, 0xF6, 0xF7, 0xF8, 0xF9, 0xFA, 0xFB, 0xFC, 0xFD, 0xFE, 0xFF, 0xC0, 0xC1, 9, 10, 11, 12, 13])
+#: Bytes of the longest word that can name a class.
+SHORT = 6
 #: Words, the commonest, whose scores every task has; the others are joined. This bounds a broadcast and changes no result.
 SENT = 150_000
 _HALF = float(np.log(0.5))
@@ -46,16 +52,20 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def positions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of the words and their ends: the context (nearest byte first) and the byte, in 64 bits; and the word's number."""
-    data = [w if w == END else w + b" " for w in words]
+    """For each byte of the words and their ends: the context (nearest byte first) and the byte, in 64 bits; and the word's number.
+
+    A word here begins with its class's byte, which is context and isn't predicted.
+    """
+    data = [w if w[1:] == END else w + b" " for w in words]
     size = np.fromiter(map(len, data), np.int64, len(data))
     text = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
     start = np.repeat(np.cumsum(size) - size, size)
     at = np.arange(len(text))
     key = text.copy()
     for j in range(1, DEPTH + 1):
-        key |= np.where(at - j >= start, text[np.maximum(at - j, 0)], np.uint64(0)) << np.uint64(8 * (DEPTH + 1 - j))
-    return key, np.repeat(np.arange(len(words)), size)
+        key |= text[np.maximum(at - j, start)] << np.uint64(8 * (DEPTH + 1 - j))
+    own = at != start
+    return key[own], np.repeat(np.arange(len(words)), size)[own]
 
 
 def _summed(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
@@ -188,21 +198,46 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
         yield t.as_buffer().to_pybytes() if t.is_valid else b""
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word and c, its training tokens (0: only held-out texts have it). docs: held_out and text."""
+def class_words(docs: DataFrame) -> list[bytes]:
+    """The commonest training words of at most SHORT bytes, one for each class but the first. docs: held_out and text."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here: Counter[bytes] = Counter()
+        for b in batches:
+            for out, text in zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True):
+                if not out:
+                    here.update(w for w in text.lower().split() if len(w) <= SHORT)
+            if len(here) > 100_000:
+                yield _batch("word c", pa.array(list(here), pa.binary()), pa.array(list(here.values()), pa.int64()))
+                here.clear()
+        yield _batch("word c", pa.array(list(here), pa.binary()), pa.array(list(here.values()), pa.int64()))
+
+    words = docs.select("held_out", "text").mapInArrow(count, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return [bytes(r["word"]) for r in words.orderBy(F.desc("c"), "word").limit(len(CLASSES) - 1).collect()]
+
+
+def classed(text: bytes, names: list[bytes]) -> tuple[bytes, Counter[bytes]]:
+    """The text's class, by the first of the words that it has most of; and its tokens, counted."""
+    here = Counter(tokens(text))
+    most = max((here.get(w, 0) for w in names), default=0)
+    z = 1 + next(i for i, w in enumerate(names) if here.get(w, 0) == most) if most else 0
+    return CLASSES[z : z + 1], here
+
+
+def word_counts(docs: DataFrame, names: list[bytes]) -> DataFrame:
+    """word (after its text's class) and c, its training tokens (0: only held-out texts have it). docs: held_out and text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 b = whole.slice(at, 4096)
-                here: Counter[bytes] = Counter()
+                by: dict[bytes, Counter[bytes]] = {}
                 for out, text in zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True):
-                    if out:
-                        for w in tokens(text):
-                            here.setdefault(w, 0)
-                    else:
-                        here.update(tokens(text))
-                yield _batch("word c", pa.array(list(here), pa.binary()), pa.array(list(here.values()), pa.int64()))
+                    z, own = classed(text, names)
+                    here = by.setdefault(z, Counter())
+                    here.update(dict.fromkeys(own, 0) if out else own)
+                rows = [(z + w, k) for z, here in by.items() for w, k in here.items()]
+                yield _batch("word c", pa.array([w for w, _ in rows], pa.binary()), pa.array([k for _, k in rows], pa.int64()))
 
     return docs.select("held_out", "text").mapInArrow(count, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -249,8 +284,12 @@ def scored(docs: DataFrame) -> DataFrame:
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out.alias("held_out"), "text")
-    words = written(word_counts(rows).withColumn("id", F.monotonically_increasing_id()), "words")
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    names = class_words(rows)
+    words = written(word_counts(rows, names).withColumn("id", F.monotonically_increasing_id()), "words")
+    plain = F.expr("substring(word, 2)")
+    counts = words.groupBy(plain.alias("plain")).agg(F.sum("c").alias("all"))
+    counts = written(counts, "counts")
+    n, v = counts.agg(F.coalesce(F.sum("all"), F.lit(0)), F.count_if(F.col("all") > 0)).first()
     of_bytes = written(byte_scores(words), "scores")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,18 +300,21 @@ def scored(docs: DataFrame) -> DataFrame:
     spelled = words.select("word", "id").mapInArrow(spell, "id bigint, k bigint")
     total = of_bytes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     of_words = join_groups(spelled, of_bytes, ["k"], "n", total).groupBy("id").agg(F.sum("lp").alias("lp"))
-    base = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
-    words = words.join(of_words, "id").select("word", (F.col("c") > 0).alias("known"), base.alias("base"), "lp", F.floor(F.log2(F.greatest("c", F.lit(1))) * 16).alias("class"))
+    base = F.log10((F.col("all") + 1) / F.lit(float(n + v + 1)))
+    words = words.join(of_words, "id").withColumn("plain", plain).join(counts, "plain")
+    words = words.select("word", (F.col("all") > 0).alias("known"), base.alias("base"), "lp", F.floor(F.log2(F.greatest("c", F.lit(1))) * 16).alias("class"))
     words = written(words, "scored-words")
     held, least = 0, None
-    for c in words.filter("known").groupBy("class").count().orderBy(F.desc("class")).collect():
+    for c in words.groupBy("class").count().orderBy(F.desc("class")).collect():
         held += c["count"]
         if held > SENT:
             break
         least = c["class"]
-    often = F.col("known") & (F.col("class") >= F.lit(least)) if least is not None else F.lit(False)
-    got = words.filter(often).select("word", "base", "lp").toArrow()
-    common = dict(zip(got["word"].to_pylist(), zip(got["base"].to_pylist(), got["lp"].to_pylist(), strict=True), strict=True))
+    often = (F.col("class") >= F.lit(least)) if least is not None else F.lit(False)
+    got = words.filter(often).select("word", "known", "base", "lp").toArrow()
+    common = dict(zip(got["word"].to_pylist(), zip(*(got[c].to_pylist() for c in ("known", "base", "lp")), strict=True), strict=True))
+
+    class_cost = -float(np.log10(len(names) + 1))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -280,24 +322,24 @@ def scored(docs: DataFrame) -> DataFrame:
                 b = whole.slice(at, 1024)
                 sums, rare, rare_at, rare_n = [], [], [], []
                 for i, text in enumerate(_texts(b.column(3))):
-                    here = Counter(tokens(text))
-                    known, base_sum, lp_sum = 0, 0.0, 0.0
+                    z, here = classed(text, names)
+                    known, base_sum, lp_sum = 0, 0.0, class_cost
                     for w, k in here.items():
-                        if (s := common.get(w)) is not None:
-                            known += k
-                            base_sum += k * s[0]
-                            lp_sum += k * s[1]
+                        if (s := common.get(z + w)) is not None:
+                            known += k * s[0]
+                            base_sum += k * s[1]
+                            lp_sum += k * s[2]
                         else:
-                            rare.append(w)
+                            rare.append(z + w)
                             rare_at.append(i)
                             rare_n.append(k)
                     sums.append((here.total(), known, base_sum, lp_sum, sum(k * (len(w) + (w != END)) for w, k in here.items())))
-                names, all_, none = "uid doc_id held_out n_tokens n_known base lp size word", len(sums), len(rare)
+                fields, all_, none = "uid doc_id held_out n_tokens n_known base lp size word", len(sums), len(rare)
                 cols = [pa.array(c, t) for c, t in zip(zip(*sums, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)]
-                yield _batch(names, *b.columns[:3], *cols, pa.nulls(all_, pa.binary()))
+                yield _batch(fields, *b.columns[:3], *cols, pa.nulls(all_, pa.binary()))
                 uid = b.column(0).take(pa.array(rare_at, pa.int64()))
                 empty = pa.nulls(none, pa.float64())
-                yield _batch(names, uid, pa.nulls(none, pa.int64()), pa.nulls(none, pa.bool_()), pa.array(rare_n, pa.int64()), pa.nulls(none, pa.int64()), empty, empty, pa.nulls(none, pa.int64()), pa.array(rare, pa.binary()))
+                yield _batch(fields, uid, pa.nulls(none, pa.int64()), pa.nulls(none, pa.bool_()), pa.array(rare_n, pa.int64()), pa.nulls(none, pa.int64()), empty, empty, pa.nulls(none, pa.int64()), pa.array(rare, pa.binary()))
 
     kind = "uid bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, lp double, size bigint, word binary"
     rows = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text")
