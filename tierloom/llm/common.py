@@ -1,132 +1,11 @@
-"""What the operators of this subpackage share: written intermediate tables and exact distributed ranks."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from tierloom.operators.tables import components, join_groups, partitions, ranked, table, written
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+__all__ = ["SPACE", "WORD", "components", "join_groups", "partitions", "ranked", "table", "written"]
 
 #: The characters of ``[\x20\x09-\x0D]``, as they are written in Java and RE2 patterns.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or, only where that is unset, one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="tierloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001 - the session may be gone; the cluster then cleans its own folder
-        pass
-
-
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Cut the lineage: write ``df`` as a table in the shared folder, and read it again.
-
-    Unlike ``checkpoint()`` this evaluates the plan once and stays columnar and compressed. A reader that
-    loses its executor reads the files again. The files go when the session's process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "ranked") -> DataFrame:
-    """Add ``rank``, from 0, within ``group`` (columns without nulls), by ``order``; no group is in one task.
-
-    A range shuffle on group and order sorts all rows; a partition's rows are numbered in place, and the
-    numbers of rows in the partitions before it, a few per partition, are added. Ties: by the order's rest.
-    """
-    rows = written(
-        df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn("_seq", F.monotonically_increasing_id()), name
-    )
-    rows = rows.withColumn("_part", F.shiftright("_seq", 33))
-    runs = rows.groupBy(*group, "_part").agg(F.min("_seq").alias("_first"), F.count("*").alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return rows.join(runs, [*group, "_part"]).withColumn("rank", F.col("_base") + F.col("_seq") - F.col("_first")).drop("_seq", "_part", "_first", "_n", "_base")
-
-
-#: A group with at least one row in HEAVY of all rows is heavy; there can't be more than HEAVY such groups.
-HEAVY = 1024
-
-
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
-    """Join rows with their groups (one row per key, ``size`` rows each of ``total``), however uneven the groups are.
-
-    The rows of heavy groups meet a broadcast of at most HEAVY entries and don't move; the others shuffle by key.
-    """
-    heavy = F.col(size) * HEAVY >= total
-    hot, rest = F.broadcast(groups.filter(heavy)), groups.filter(~heavy)
-    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys))
-
-
-def components(edges: DataFrame, u: str, v: str) -> DataFrame:
-    """Connected components: ``u`` and ``root``, the least node of its component, for every node of an edge but the roots.
-
-    Each partition first reduces its edges to a spanning forest (union-find), which keeps what is connected and has
-    fewer edges than nodes. Then large stars and small stars alternate, each a group-by and a join, until nothing
-    changes; the number of rounds grows as the logarithm of the longest path.
-    """
-
-    def forest(batches):
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            root = x
-            while (up := parent.get(root, root)) != root:
-                root = up
-            while x != root:
-                parent[x], x = root, parent.get(x, x)
-            return root
-
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x, y = find(a), find(b)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-        nodes = list(parent)
-        for i in range(0, len(nodes), 65536):
-            some = [(x, find(x)) for x in nodes[i : i + 65536]]
-            some = [(x, r) for x, r in some if x != r]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in some], pa.int64()), pa.array([r for _, r in some], pa.int64())], ["a", "b"])
-
-    now = written(edges.select(F.col(u).alias("a"), F.col(v).alias("b")).mapInArrow(forest, "a bigint, b bigint").distinct(), "forest")
-
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-
-    was = None
-    while (at := state(now)) != was:
-        was = at
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        near = large.join(least, "a")
-        small = near.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = written(small.distinct(), "stars")
-    return now.select(F.col("a").alias(u), F.col("b").alias("root"))
