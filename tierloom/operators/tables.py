@@ -126,3 +126,14 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
         small = near.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         now = written(small.distinct(), "stars")
     return now.select(F.col("a").alias(u), F.col("b").alias("root"))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until the frame has no column of that name, in any case."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n = "_" + n
+        have.add(n.lower())
+        out.append(n)
+    return out
