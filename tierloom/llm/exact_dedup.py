@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierloom.llm.common import SPACE, join_groups, partitions, written
+from tierloom.llm.common import SPACE, fresh, join_groups, partitions, written
 
 KEY = ["digest", "norm_bytes"]
 RUN = "digest binary, norm_bytes bigint, n_chars_neg bigint, doc_id bigint, uid bigint, n bigint"
@@ -113,6 +113,7 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
 
     The documents are written with a row number first, so that both passes see the same numbers.
     """
-    docs = written(docs.withColumn("_uid", F.monotonically_increasing_id()), "documents")
-    kept = exact_groups(docs, "_uid").filter("kept").select(F.col("uid").alias("_uid"))
-    return docs.join(kept, "_uid", "left_semi").drop("_uid")
+    (row,) = fresh(docs, "_uid")
+    docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    kept = exact_groups(docs, row).filter("kept").select(F.col("uid").alias(row))
+    return docs.join(kept, row, "left_semi").drop(row)

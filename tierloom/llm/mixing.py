@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierloom.llm.common import WORD, ranked, written
+from tierloom.llm.common import WORD, fresh, ranked, written
 
 SRC = ["src_null", "src"]
 #: Offsets tried per source, spread evenly from the drawn one; the one whose words come nearest the target is the source's.
@@ -84,7 +84,8 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
     The documents are written with a row number first, so that both passes see the same numbers.
     """
-    docs = written(docs.withColumn("_uid", F.monotonically_increasing_id()), "mix")
-    copies = mixed(docs, uid="_uid", **how).select(F.col("uid").alias("_uid"), F.col("copies").alias("_copies")).filter("_copies > 0")
-    rows = docs.join(copies, "_uid").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
-    return rows.drop("_uid", "_copies", "_copy")
+    row, times, copy = fresh(docs, "_uid", "_copies", "_copy")
+    docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix")
+    copies = mixed(docs, uid=row, **how).select(F.col("uid").alias(row), F.col("copies").alias(times)).filter(F.col(times) > 0)
+    rows = docs.join(copies, row).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times))))
+    return rows.drop(row, times, copy)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierloom.llm.common import components, join_groups, written
+from tierloom.llm.common import components, fresh, join_groups, written
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
 #: Bits of a part whose values are counted; a wider part's further bits are taken as even.
@@ -281,6 +281,7 @@ def near_groups(docs: DataFrame, most_bits: int = MOST_BITS, uid: str | None = N
 
 def drop_near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """One document of each component, with all its columns. The documents are written with a row number first."""
-    docs = written(docs.withColumn("_uid", F.monotonically_increasing_id()), "documents")
-    kept = near_groups(docs, most_bits, "_uid").filter("kept").select(F.col("uid").alias("_uid"))
-    return docs.join(kept, "_uid", "left_semi").drop("_uid")
+    (row,) = fresh(docs, "_uid")
+    docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    kept = near_groups(docs, most_bits, row).filter("kept").select(F.col("uid").alias(row))
+    return docs.join(kept, row, "left_semi").drop(row)
