@@ -66,16 +66,17 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "ra
     return rows.join(runs, [*group, "_part"]).withColumn("rank", F.col("_base") + F.col("_seq") - F.col("_first")).drop("_seq", "_part", "_first", "_n", "_base")
 
 
-#: A group with at least one row in HEAVY of all rows is heavy; there can't be more than HEAVY such groups.
+#: Heavy groups at most, if a join doesn't say otherwise.
 HEAVY = 1024
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, most: int = HEAVY) -> DataFrame:
     """Join rows with their groups (one row per key, ``size`` rows each of ``total``), however uneven the groups are.
 
-    The rows of heavy groups meet a broadcast of at most HEAVY entries and don't move; the others shuffle by key.
+    Heavy are groups with at least one in ``most`` of all rows, so there can't be more than ``most``. Their rows meet a
+    broadcast and don't move; the others shuffle by key.
     """
-    heavy = F.col(size) * HEAVY >= total
+    heavy = F.col(size) * most >= total
     hot, rest = F.broadcast(groups.filter(heavy)), groups.filter(~heavy)
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys))
 
