@@ -16,16 +16,15 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tierloom.llm.common import written
+from tierloom.llm.common import fresh, written
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Distinct words, the commonest, that the plan holds encoded. This bounds a literal and changes no result.
-CACHED = 524_288
+CACHED = 1 << 19
 #: Documents with a word of more bytes than this are encoded by the library's heap, as a fold takes quadratic time.
 LONG = 256
 #: Above every rank.
@@ -58,12 +57,12 @@ def _packed(rows: dict[int, dict[int, int]], n: int) -> tuple[np.ndarray, np.nda
     return base, table
 
 
-def literals(spark: SparkSession, **arrays: tuple[list | np.ndarray, pa.DataType]) -> dict[str, Column]:
+def literals(spark: SparkSession, **arrays: pa.Array) -> dict[str, Column]:
     """Array literals in Spark's own compact layout, which goes to the tasks as plain bytes and is read in place.
 
     ``lit`` would make every element an object, several times a plan.
     """
-    row = pa.table({k: pa.array([v], pa.list_(t)) for k, (v, t) in arrays.items()})
+    row = pa.table({k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for k, v in arrays.items()})
     df = spark.createDataFrame(row)
     got = df._jdf.queryExecution().executedPlan().executeCollect()[0]
     jvm, out = spark.sparkContext._jvm, {}
@@ -88,7 +87,7 @@ class Merges:
         if self.end >= NONE >> 1 or len(of) != self.end:
             raise ValueError("ids must be 0 to n - 1, and fewer than 65536")
         base, table = _packed(rows, self.end + 1)
-        flat = literals(spark, base=(base, pa.int64()), table=(table, pa.int64()), byte_ids=([of[bytes([i])] for i in range(256)], pa.int64()))
+        flat = literals(spark, base=pa.array(base), table=pa.array(table), byte_ids=pa.array([of[bytes([i])] for i in range(256)], pa.int64()))
         self.base, self.table, self.byte_ids = flat["base"], flat["table"], flat["byte_ids"]
 
     def entry(self, a: Column, b: Column) -> Column:
@@ -143,9 +142,8 @@ class Tokenizer:
         self.spark, self.path, self.pattern = spark, path, pattern
         self.merges = Merges(spark, path)
         pieces = sorted(ranks(path), key=ranks(path).get)
-        flat = literals(
-            spark, pieces=([t.hex().upper() for t in pieces], pa.string()), little=([i.to_bytes(4, "little").hex() for i in range(len(pieces))], pa.string())
-        )
+        little = pa.array([i.to_bytes(4, "little").hex() for i in range(len(pieces))])
+        flat = literals(spark, pieces=pa.array([t.hex().upper() for t in pieces]), little=little)
         self.pieces, self.little = flat["pieces"], flat["little"]
 
     def decode(self, ids: Column) -> Column:
@@ -178,38 +176,32 @@ class Tokenizer:
         over all documents. A column that is called ids is replaced.
         """
         docs = docs.drop("ids")
+        (cutting,) = fresh(docs, "_words")
         common, has_long = self._cache(docs)
-        got = common.select("w", _fold(F.col("w"), self.merges).alias("ids")).toArrow()
-        words = got["w"].to_pylist() or [""]
-        h = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in words], np.uint64)
+        got = common.select("w", _fold(F.col("w"), self.merges).alias("ids"), F.xxhash64("w").alias("h")).toArrow()
+        words, ids, h = (got[c].combine_chunks() for c in ("w", "ids", "h"))
         buckets = 1 << max(4, len(words) * 4).bit_length() - 1
-        own = (h & np.uint64(buckets - 1)).astype(np.int64)
+        own = h.to_numpy(zero_copy_only=False) & (buckets - 1)
         order = np.argsort(own, kind="stable")
-        starts = np.searchsorted(own[order], np.arange(buckets))
-        most = int(np.bincount(own).max())
-        ids = got["ids"].to_pylist() or [[]]
-        flat = literals(
-            self.spark,
-            starts=(starts, pa.int32()),
-            words=([words[i] for i in order], pa.string()),
-            ids=([ids[i] for i in order], pa.list_(pa.int32())),
-        )
+        starts = np.searchsorted(own[order], np.arange(buckets)).astype(np.int32)
+        most = int(np.bincount(own).max()) if len(own) else 0
+        flat = literals(self.spark, starts=pa.array(starts), words=words.take(pa.array(order)), ids=ids.take(pa.array(order)))
 
         def of(w: Column) -> Column:
             def look(s: Column) -> Column:
-                found = F.when(F.get(flat["words"], s) == w, F.get(flat["ids"], s))
-                for j in range(1, most):
-                    found = found.when(F.get(flat["words"], s + j) == w, F.get(flat["ids"], s + j))
+                found = F.when(F.lit(False), F.lit(None).cast("array<int>"))
+                for j in range(most):
+                    found = found.when(F.get(flat["words"], s + j if j else s) == w, F.get(flat["ids"], s + j if j else s))
                 return found.otherwise(_fold(w, self.merges))
 
             return _let(F.get(flat["starts"], F.xxhash64(w).bitwiseAND(F.lit(buckets - 1).cast("bigint")).cast("int")), look)
 
-        cut = docs.withColumn("_words", words_of(F.coalesce(F.col("text"), F.lit("")), self.pattern))
-        long = F.exists("_words", lambda w: F.octet_length(w) > LONG)
-        ids = F.flatten(F.transform("_words", of))
+        cut = docs.withColumn(cutting, words_of(F.coalesce(F.col("text"), F.lit("")), self.pattern))
+        long = F.exists(cutting, lambda w: F.octet_length(w) > LONG)
+        ids = F.flatten(F.transform(cutting, of))
         if not has_long:
-            return cut.withColumn("ids", ids).drop("_words")
-        return cut.filter(~long).withColumn("ids", ids).drop("_words").unionByName(self._long(cut.filter(long).drop("_words")))
+            return cut.withColumn("ids", ids).drop(cutting)
+        return cut.filter(~long).withColumn("ids", ids).drop(cutting).unionByName(self._long(cut.filter(long).drop(cutting)))
 
     def _long(self, docs: DataFrame) -> DataFrame:
         path, pattern = self.path, self.pattern
