@@ -10,7 +10,7 @@ from tierloom.sources import canonical
 
 def stream_lines(spark: SparkSession, path: str, checkpoint: str, good: str, bad: str):
     """Canonicalizes JSONL files as they come: events are appended to ``good``, malformed lines to ``bad``. Returns the query."""
-    raw = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.jsonl*").load(path)
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", "*.jsonl*").load(path)
     parts = F.split(F.decode("content", "ISO-8859-1"), "\n")  # one character a byte, so that no byte is lost
     lines = raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.posexplode(parts).alias("line_index", "line"))
     lines = lines.select("file", F.col("line_index").cast("bigint").alias("line_index"), F.encode("line", "ISO-8859-1").alias("raw")).filter(F.octet_length("raw") > 0)
