@@ -46,8 +46,24 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return series - np.log(x * (x + 1) * (x + 2) * (x + 3)) - np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
 
 
+#: log gamma of a half more than whole numbers (less half of log pi), and of one more.
+_HALVES, _WHOLE = lgamma(np.arange(1 << 14) + 0.5) - 1.1447298858494002 / 2, lgamma(np.arange(1 << 14) + 1.0)
+
+
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The log of the Krichevsky-Trofimov estimate of a zeros and b ones."""
+    """The log of the Krichevsky-Trofimov estimate of a zeros and b ones; the a's and b's are whole numbers."""
+    few = a + b < len(_WHOLE)
+    out = np.empty(len(a)) if a.ndim == 1 else None
+    if out is None or not few.any():
+        return _log_kt(a, b)
+    x, y = a[few].astype(np.int64), b[few].astype(np.int64)
+    out[few] = _HALVES[x] + _HALVES[y] - _WHOLE[x + y]
+    if not few.all():
+        out[~few] = _log_kt(a[~few], b[~few])
+    return out
+
+
+def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1.0) - 1.1447298858494002
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierloom.llm import ann, bpe, ctw, exact_dedup, html_text, mixing, quality, simhash, token_counts, url_filter
+from tierloom.llm import ann, bpe, ctw_text, exact_dedup, html_text, mixing, quality, simhash, token_counts, url_filter
 from tierloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +41,7 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctw.scored(table(spark, sf_dir, "documents"))
+    return ctw_text.scored(table(spark, sf_dir, "documents"))
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
