@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierloom.functions.text import normalize
@@ -15,6 +15,8 @@ from tierloom.operators.tables import components, written
 SLOTS, BANDS, SHINGLE = 128, 8, 5
 LEAST = 64
 BASE = np.uint64(0x100000001B3)
+#: Members of a bucket that are compared at once; larger buckets are split, and every two blocks meet.
+BLOCK = 512
 
 
 def exact_groups(bodies: DataFrame, body: str = "text", key: str = "doc_id") -> DataFrame:
@@ -65,38 +67,101 @@ def signatures(rows: DataFrame, seed: int = 1337) -> DataFrame:
     return rows.select("id", "text").mapInArrow(run, "id bigint, signature array<bigint>")
 
 
-def estimated_jaccard(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x) / SLOTS
+def _linked(sigs: np.ndarray, band: int, half: np.ndarray, threshold: float) -> np.ndarray:
+    """Which members are linked: similar enough, and of all bands on which they agree this one is the first. half: 0 and 1, if
+    only members of different halves are compared (those of one half meet elsewhere), else all 0."""
+    n, width = len(sigs), SLOTS // BANDS
+    link = np.zeros((n, n), bool)
+    for i in range(n - 1):
+        same = sigs[i + 1 :] == sigs[i]
+        ok = same.sum(axis=1) >= threshold * SLOTS
+        if half.any():
+            ok &= half[i + 1 :] != half[i]
+        if band:
+            ok &= ~same[:, : band * width].reshape(-1, band, width).all(axis=2).any(axis=1)
+        link[i, i + 1 :] = ok
+    return link | link.T
+
+
+def verified_links(signed: DataFrame, threshold: float) -> DataFrame:
+    """id, other and links, from every pair of different signatures that agree on a band and are similar enough.
+
+    Each pair is verified in one block. There, a member with links has one row: the number of documents it is linked to in the
+    block, and the least id of what is connected there. signed: id, signature, copies (documents that have it).
+    """
+    width = SLOTS // BANDS
+    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.slice("signature", i * width + 1, width)).alias("h")) for i in range(BANDS)])
+    rows = signed.select("id", "signature", "copies", F.explode(bands).alias("x")).select("id", "signature", "copies", "x.band", "x.h")
+    buckets = rows.groupBy("band", "h").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = rows.join(buckets, ["band", "h"]).withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("band", "h", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), (F.col("own") > F.col("met")).cast("int").alias("half"), "id", "copies", "signature")
+    rows = rows.repartition("band", "h", "i", "j").sortWithinPartitions("band", "h", "i", "j", "id")
+
+    def block(keys: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
+        """keys: band, h, i, j, half, id and copies in columns."""
+        half = keys[:, 4] if keys[0, 2] != keys[0, 3] else np.zeros(len(keys), np.int64)
+        link = _linked(sigs, int(keys[0, 0]), half, threshold)
+        root = np.full(len(keys), -1)
+        for i in range(len(keys)):
+            if root[i] >= 0:
+                continue
+            root[i], front = i, np.array([i])
+            while len(front):
+                front = np.flatnonzero(link[front].any(axis=0) & (root < 0))
+                root[front] = i
+        has = link.any(axis=1)
+        ids = keys[:, 5]
+        return pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(ids[root][has]), pa.array((link @ keys[:, 6])[has])], ["id", "other", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def blocks(keys: np.ndarray, sigs: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+            new = np.flatnonzero((keys[1:, :4] != keys[:-1, :4]).any(axis=1)) + 1
+            ends = [*new.tolist(), *([len(keys)] if last else [])]
+            at = 0
+            for end in ends:
+                yield block(keys[at:end], sigs[at:end])
+                at = end
+            held[:] = [(keys[at:].copy(), sigs[at:].copy())]
+
+        for b in batches:
+            if b.num_rows:
+                keys = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(7)], axis=1)
+                held.append((keys, b.column(7).flatten().to_numpy().reshape(-1, SLOTS)))
+                if (held[0][0][0, :4] != keys[-1, :4]).any() if len(held[0][0]) else True:
+                    yield from blocks(*(np.concatenate([x[i] for x in held]) for i in range(2)), False)
+        if held and sum(len(k) for k, _ in held):
+            yield from blocks(*(np.concatenate([x[i] for x in held]) for i in range(2)), True)
+
+    return rows.mapInArrow(run, "id bigint, other bigint, links bigint")
 
 
 def near_clusters(bodies: DataFrame, threshold: float = 0.9, body: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id and cluster (least key) of all bodies over LEAST characters that are in clusters of at least two.
+    """doc_id, cluster (least key), size and links of all bodies over LEAST characters that are in clusters of at least two.
 
-    Bodies equal after normalization are one node. Nodes that agree on a band meet the band's leader, its least node; those
-    whose estimated similarity to it is too small meet a leader of their own in the next round, until none is left.
+    Bodies equal after normalization are one node, and nodes with equal signatures one more. Clusters are the connected
+    components of all pairs that agree on a band and whose estimated similarity is at least the threshold; links is the number of
+    other documents to which one is linked by such a pair.
     """
     rows = bodies.filter(F.char_length(body) > LEAST).select(F.col(key).alias("key"), normalize(F.col(body)).alias("text"))
     rows = written(rows.withColumn("sha", F.sha2("text", 256)), "normal")
-    nodes = rows.groupBy("sha").agg(F.min("key").alias("id"), F.first("text").alias("text"))
-    members = written(rows.select("sha", "key").join(nodes.select("sha", "id"), "sha").select("key", "id"), "members")
-    signed = written(signatures(nodes.select("id", "text")), "signatures")
-    width = SLOTS // BANDS
-    left = signed.select("id", "signature", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.slice("signature", i * width + 1, width)).alias("h")) for i in range(BANDS)])).alias("x"))
-    left = written(left.select("id", "signature", "x.band", "x.h"), "bands")
-    links = None
-    while True:
-        leaders = left.groupBy("band", "h").agg(F.min(F.struct("id", "signature")).alias("leader"), F.count("*").alias("n")).filter("n > 1")
-        met = left.join(leaders, ["band", "h"]).filter(F.col("id") != F.col("leader.id"))
-        met = written(met.withColumn("same", estimated_jaccard(F.col("signature"), F.col("leader.signature")) >= threshold), "met")
-        found = met.filter("same").select("id", F.col("leader.id").alias("other"))
-        links = found if links is None else links.unionByName(found)
-        left = met.filter(~F.col("same")).select("id", "signature", "band", "h")
-        if left.isEmpty():
-            break
-    roots = components(links.distinct(), "id", "other").select("id", "root")
-    out = members.join(roots, "id", "left").select(F.col("key").alias(key), F.coalesce("root", "id").alias("cluster"))
+    nodes = rows.groupBy("sha").agg(F.min("key").alias("node"), F.first("text").alias("text"), F.count("*").alias("copies"))
+    nodes = written(nodes, "nodes")
+    signed = signatures(nodes.select(F.col("node").alias("id"), "text")).withColumnRenamed("id", "node")
+    signed = written(signed.join(nodes.select("node", "copies"), "node").withColumn("digest", F.sha2(F.array_join("signature", ","), 256)), "signatures")
+    distinct = signed.groupBy("digest").agg(F.min("node").alias("id"), F.sum("copies").alias("copies"), F.first("signature").alias("signature"))
+    distinct = written(distinct, "distinct")
+    members = rows.select("sha", "key").join(nodes.select("sha", "node"), "sha").join(signed.select("node", "digest"), "node")
+    members = written(members.join(distinct.select("digest", "id", "copies"), "digest").select("key", "id", "copies"), "members")
+    found = written(verified_links(distinct, threshold), "links")
+    roots = components(found.select("id", "other").filter("id != other").distinct(), "id", "other").select("id", "root")
+    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    out = members.join(roots, "id", "left").join(links, "id", "left")
+    out = out.select(F.col("key").alias(key), F.coalesce("root", "id").alias("cluster"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     sizes = out.groupBy("cluster").agg(F.count("*").alias("size")).filter("size > 1")
-    return out.join(sizes, "cluster").select(key, "cluster", "size")
+    return out.join(sizes, "cluster").select(key, "cluster", "size", "links")
 
 
 def top_clusters(groups: DataFrame, most: int = 5) -> DataFrame:
