@@ -170,7 +170,7 @@ def top_clusters(groups: DataFrame, most: int = 5) -> DataFrame:
 
 
 def jaccard_nearest(a: DataFrame, text: str = "text", key: str = "item_id") -> DataFrame:
-    """Each key's number of distinct 5-character shingles, and how many other keys share at least one of its rarest."""
+    """Each key's number of distinct 5-character shingles, and how many of them other keys have too; no pairs are formed."""
     w = Window.partitionBy("shingle")
     n = F.greatest(F.char_length(text) - 4, F.lit(1))
     parts = a.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col(text), i, F.lit(5))))).alias("shingle"))
