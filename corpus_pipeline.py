@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tierloom.llm import bpe, exact_dedup, mixing, quality, simhash
 from tierloom.llm.common import table, written
@@ -33,16 +32,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document of the mix as token ids, with the digests of the ids and of the bytes they decode to."""
-    t = bpe.Tokenizer(spark)
-    coded = t.encode(docs.select("doc_id", "source", "text"))
-    return coded.select(
-        "doc_id",
-        "source",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        "ids",
-        F.sha2(t.little_endian(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2(t.decode(F.col("ids")), 256).alias("decoded_sha256"),
-    )
+    return bpe.Tokenizer(spark).digests(docs.select("doc_id", "source", "text"), ids=True)
 
 
 STAGES = [

@@ -1,9 +1,11 @@
 import hashlib
+import random
 import struct
 
 import public_tokenizers
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 
 from tests.llm.cases import documents, hard
 from tierloom.llm import bpe, token_counts
@@ -27,6 +29,33 @@ def test_words_that_are_not_cached_are_folded_in_place(spark, monkeypatch):
     assert all(r.ids == LIBRARY.encode_ordinary(r.text) for r in got)
 
 
+def test_long_words_merge_as_the_library_merges_them(spark):
+    words = ["ab" * 2500, "x" * 300, "".join(chr(97 + i * i % 23) for i in range(1_000_000)), "é" * 3000, "z" * 256, "q" * 257]
+    docs = spark.createDataFrame([(i, f"one {w} two {w[:50]}") for i, w in enumerate(words)], "doc_id bigint, text string")
+    assert all(r.ids == LIBRARY.encode_ordinary(r.text) for r in bpe.Tokenizer(spark).encode(docs).collect())
+    rank = bpe.ranks(bpe.RANKS)
+    assert all(bpe.merge_long(w.encode(), rank) == LIBRARY.encode_ordinary(w) for w in words)
+
+
+def test_fold_of_arbitrary_words(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aabbetno eß'1 ") for _ in range(rng.randrange(1, 40))).strip() or "a" for _ in range(3000)]
+    t = bpe.Tokenizer(spark)
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    single = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=bpe.ranks(bpe.RANKS), special_tokens={})
+    got = df.select("w", bpe._fold(F.col("w"), t.merges).alias("ids")).collect()
+    assert all(r.ids == single.encode_ordinary(r.w) == bpe.merge_long(r.w.encode(), bpe.ranks(bpe.RANKS)) for r in got)
+
+
+def test_later_letters_are_letters(spark):
+    """Letters and numbers that Java doesn't know are cut as the library cuts them."""
+    text = "a\U00010570\U00031350b c\u1c89 1\U00010d40\u0660 \U0001fae0\u2c2fx \U0001e5f1"
+    got = bpe.Tokenizer(spark).encode(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert got.ids == LIBRARY.encode_ordinary(text)
+    cut = spark.createDataFrame([(text,)], "text string").select(bpe.words_of(F.col("text"), public_tokenizers.PATTERN).alias("w")).first().w
+    assert cut == regex.findall(public_tokenizers.PATTERN, text)
+
+
 def test_columns_stay_and_empty_tables(spark):
     docs = hard(spark)
     assert bpe.Tokenizer(spark).encode(docs).columns == [*docs.columns, "ids"]
