@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from tierloom.operators import dedup
@@ -14,16 +15,19 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def value(v):
-    if isinstance(v, float | np.floating):
+    """Whole numbers exactly; other numbers to six digits; all that is missing alike."""
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float | np.floating) and np.isnan(v)):
+        return "missing"
+    if isinstance(v, float | np.floating) and not float(v).is_integer():
         return f"{v:.6g}"
-    if isinstance(v, bool | np.bool_ | int | np.integer):
-        return f"{float(v):.6g}"
+    if isinstance(v, bool | np.bool_ | int | np.integer | float | np.floating):
+        return str(int(v))
     return str(v)
 
 
 def rows(df):
     cols = sorted(df.columns)
-    return cols, sorted(tuple(value(v) for v in r) for r in df[cols].values.tolist())
+    return cols, sorted(tuple(value(v) for v in r) for r in zip(*(df[c].tolist() for c in cols), strict=True))
 
 
 @pytest.fixture(scope="module")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or, only where that is unset, one of our own."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only where that is unset and there is no executor but the driver, one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master or 'the cluster'} share")
         at = tempfile.mkdtemp(prefix="tierloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

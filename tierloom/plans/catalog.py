@@ -325,16 +325,18 @@ def canonical_events(spark, sf_dir):
 def alias_coalesce(spark, sf_dir):
     """The events table as lines with other names for the fields, and times in milliseconds."""
     rows = table(spark, sf_dir, "events")
-    line = F.to_json(F.struct(F.col("user_id").alias("Session_ID"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("timestamp"), F.col("event_type").alias("kind"), "value"))
+    line = F.to_json(F.struct(F.col("user_id").alias("Session_ID"), F.floor((ft.wall_micros(F.col("ts")) + 500) / 1000).alias("timestamp"), F.col("event_type").alias("kind"), "value"))
     made = rows.select(F.lit("events.jsonl").alias("file"), F.col("event_id").alias("line_index"), F.encode(line, "UTF-8").alias("raw"))
     return canonical.canonicalize(made).select("line_index", "trace_id", "ts", "type", "role")
 
 
 @query("SELECT event_id, epoch_ms(ts) // 1000 * 1000000 AS from_s, epoch_ms(ts) * 1000 AS from_ms, epoch_us(ts) AS from_us FROM events")
 def ts_units(spark, sf_dir):
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    """Times as whole seconds (of the milliseconds), as milliseconds to the nearest, and as microseconds, all back as microseconds."""
+    us = ft.wall_micros(F.col("ts"))
+    ms = F.floor((us + 500) / 1000)
     rows = table(spark, sf_dir, "events")
-    return rows.select("event_id", ft.micros(F.floor(us / 1000000)).alias("from_s"), ft.micros(F.floor(us / 1000)).alias("from_ms"), ft.micros(us).alias("from_us"))
+    return rows.select("event_id", ft.micros(F.floor(ms / 1000)).alias("from_s"), ft.micros(ms).alias("from_ms"), ft.micros(us).alias("from_us"))
 
 
 @query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierloom.functions.text import wall_micros
 from tierloom.sources import canonical
 
 
@@ -26,5 +27,5 @@ def stream_lines(spark: SparkSession, path: str, checkpoint: str, good: str, bad
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
     """Events and their mean value per window and type; what comes later than ``late`` is left out of a stream's windows."""
-    rows = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    rows = events.withColumn("at", F.timestamp_micros(wall_micros(F.col("ts")))).withWatermark("at", late)
     return rows.groupBy(F.window("at", width), "event_type").agg(F.count("*").alias("events"), F.avg("value").alias("mean_value"))
