@@ -35,7 +35,7 @@ LONG = 256
 #: Above every rank.
 NONE = 1 << 16
 #: Words that are looked up at once.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
 #: Letters and numbers that Unicode has had since Java 17's version of it, up to the tokenizer library's.
 LETTERS = (
     "870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 1C89-1C8A 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7CB-A7CD A7D0-A7D1 A7D3 A7D5-A7DC A7F2-A7F4 10570-1057A 1057C-1058A 1058C-10592 "
@@ -214,20 +214,24 @@ def _nested(starts: np.ndarray, values) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), values)
 
 
-def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces whose lists in the last column have AT_ONCE elements, or one row."""
-    ends, lo = batch.column(batch.num_columns - 1).offsets.to_numpy(), 0
+def _sliced(batch: pa.RecordBatch, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of AT_ONCE words, by the words before each row, or of one row."""
+    lo = 0
     while lo < batch.num_rows:
         hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + AT_ONCE, side="right")) - 1)
         yield batch.slice(lo, hi - lo)
         lo = hi
 
 
+def _code_ends(codes: pa.Array) -> np.ndarray:
+    return np.frombuffer(codes.buffers()[1], np.int32)[codes.offset : codes.offset + len(codes) + 1].astype(np.int64) >> 2
+
+
 def _looked_up(words: pa.Array) -> Callable:
     """Replaces the last column, a document's words, by two: the words' numbers (32 bits) in ``words``, or -1 - j for the document's j-th other word; and those others, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (s for whole in batches for s in _sliced(whole)):
+        for b in (s for whole in batches for s in _sliced(whole, whole.column(whole.num_columns - 1).offsets.to_numpy())):
             starts, flat = _lists(b.column(b.num_columns - 1))
             at = pc.index_in(flat, value_set=words)
             unknown = at.is_null().to_numpy(zero_copy_only=False)
@@ -247,7 +251,7 @@ def _looked_up(words: pa.Array) -> Callable:
 def _filled(batch: pa.RecordBatch, starts_of: np.ndarray, ids_of: np.ndarray, rank: Callable[[], dict[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Where each document's ids begin, and the end; and all ids. The last columns: codes, rare words, and their ids (null: a long word)."""
     codes = batch.column(batch.num_columns - 3)
-    ends = np.frombuffer(codes.buffers()[1], np.int32)[codes.offset : codes.offset + len(codes) + 1].astype(np.int64) >> 2
+    ends = _code_ends(codes)
     code, starts = np.frombuffer(codes.buffers()[2] or b"", np.int32)[ends[0] : ends[-1]], ends - ends[0]
     first, rare = _lists(batch.column(batch.num_columns - 2))
     folded = batch.column(batch.num_columns - 1)
@@ -310,7 +314,7 @@ class Tokenizer:
         table, path = self.spark.sparkContext.broadcast((starts_of, ids_of.to_numpy().astype(np.int32))), self.path
 
         def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in (s for whole in batches for s in _sliced(whole, _code_ends(whole.column(whole.num_columns - 3)))):
                 yield finish(b.columns[:-3], *_filled(b, *table.value, lambda: ranks(path)))
 
         return looked.withColumn("folded", fold).mapInArrow(fill, schema)

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierloom.llm.common import WORD, fresh, ranked, written
+from tierloom.llm.common import WORD, fresh, join_groups, ranked, written
 
 SRC = ["src_null", "src"]
-#: Offsets tried per source, spread evenly from the drawn one; the one whose words come nearest the target is the source's.
-OFFSETS = 32
 #: Sources up to which their targets are broadcast; beyond that they are joined.
 MOST_SENT = 10_000
 
@@ -43,10 +41,10 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), total_s
     """Per document: doc_id, size (its words), source_size, target, copies, taken (copies times size), and uid, the row's number.
 
     Every document of a source expects target / source_size copies. Documents of a source are put in order of size, the
-    copies expected so far are summed, an offset in [0, 1), drawn from the source's name so that reruns agree, is
-    added, and a document is emitted once for every whole number that the sum passes at it. As the order is by size,
-    the words taken differ from the target by about one of the largest documents; where a source is so small that this
-    shows, the choice among OFFSETS offsets brings it nearer. No document has over ``most`` copies.
+    copies expected so far are summed (their number times what each expects), one offset in [0, 1), drawn from the source's
+    name so that reruns agree, is added, and a document is emitted once for every whole number that the sum passes at it. As
+    the order is by size, the words taken differ from the target by about one of the largest documents. No document has
+    over ``most`` copies.
 
     Null and empty texts have size 0, and so have sources that hold only such texts: their target is 0. A null source is a
     source of its own, after all others. Repeated rows and rows with a null doc_id count as rows of their own. An
@@ -59,23 +57,22 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), total_s
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("src"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
     )
+    sizes = written(sizes, "sizes")  # a range shuffle reads its input twice
     rows = written(ranked(sizes, SRC, [F.col("size"), F.asc_nulls_last("doc_id"), F.col("uid")], "sizes"), "ranks")
     rate = shares(rows, weights, total_share, most)
-    few = rate.limit(MOST_SENT + 1).count() <= MOST_SENT
-    rows = rows.join(F.broadcast(rate) if few else rate, SRC)
+    own = rows.groupBy(*SRC).count()
+    rate = written(rate.join(own, SRC), "rates")
+    if rate.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        rows = rows.join(F.broadcast(rate), SRC)
+    else:
+        rows = join_groups(rows, rate, SRC, "count", rows.count())
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("whole", F.floor(each)).withColumn("part", each - F.floor(each))
     drawn = F.conv(F.substring(F.sha2(F.concat(F.lit("mix:"), F.col("src_null").cast("string"), F.lit(":"), F.col("src")), 256), 1, 8), 16, 10)
     drawn = drawn.cast("double") / 4294967296.0
 
-    def copies(offset):
-        return F.col("whole") + F.floor(offset + F.col("part") * (F.col("rank") + 1)) - F.floor(offset + F.col("part") * F.col("rank"))
-
-    tried = [(drawn + j / OFFSETS) - F.floor(drawn + j / OFFSETS) for j in range(OFFSETS)]
-    took = rows.groupBy(*SRC, "target").agg(*[F.sum(copies(o) * F.col("size")).alias(f"took{j}") for j, o in enumerate(tried)])
-    misses = F.array(*[F.struct(F.abs(F.col(f"took{j}") - F.col("target")).alias("miss"), F.lit(j).alias("j"), o.alias("offset")) for j, o in enumerate(tried)])
-    best = took.select(*SRC, F.array_min(misses)["offset"].alias("offset"))
-    rows = rows.join(F.broadcast(best) if few else best, SRC).withColumn("copies", copies(F.col("offset")))
+    copies = F.col("whole") + F.floor(drawn + F.col("part") * (F.col("rank") + 1)) - F.floor(drawn + F.col("part") * F.col("rank"))
+    rows = rows.withColumn("copies", copies)
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "uid")
 
 

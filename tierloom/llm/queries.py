@@ -107,13 +107,9 @@ r AS (
          CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS each
   FROM d JOIN t ON d.sn = t.sn AND d.src = t.src),
 c AS (
-  SELECT r.*, j, floor(each) + floor(o + (each - floor(each)) * (k + 1)) - floor(o + (each - floor(each)) * k) AS copies
-  FROM (SELECT r.*, j, (drawn + j / 32.0::DOUBLE) - floor(drawn + j / 32.0::DOUBLE) AS o FROM r, (SELECT unnest(range(32)) AS j)) r),
-b AS (
-  SELECT sn, src, arg_min(j, (abs(took - target), j)) AS j
-  FROM (SELECT sn, src, target, j, sum(copies * size) AS took FROM c GROUP BY ALL) GROUP BY sn, src)
-SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken
-FROM c JOIN b USING (sn, src, j)
+  SELECT r.*, floor(each) + floor(drawn + (each - floor(each)) * (k + 1)) - floor(drawn + (each - floor(each)) * k) AS copies
+  FROM r)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM c
 """
 
 
