@@ -100,20 +100,24 @@ def test_url_hits_against_brute_force(spark):
         assert url_filter.hits(r.url, a) == (near(url_filter.STRICT), near(url_filter.SOFT))
 
 
-def brute_nearest(ids, x, k=10, every=100):
-    out = {}
-    for i, q in zip(ids, x, strict=True):
-        if i % every == 0:
-            d = np.sqrt(((x - q) ** 2).sum(axis=1))
-            out[i] = sorted((s, j) for s, j in zip(d, ids, strict=True) if j != i)[:k]
-    return out
-
-
-def test_nearest_recall_and_scores(spark):
-    rows = table(spark, "/root/testdata/sf0.1", "embeddings")
-    got = ann.nearest(rows.repartition(3)).collect()
-    all_ = rows.collect()
-    want = brute_nearest([r.vec_id for r in all_], np.array([r.embedding for r in all_], float))
+def brute_nearest(rows, k=10, every=100):
+    """Per row whose id ``every`` divides: its id, and the distances and ids of the k nearest other rows."""
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    out = []
+    for at in np.flatnonzero(ids % every == 0):
+        d = np.sqrt(((x - x[at]) ** 2).sum(axis=1))
+        near = [j for j in np.lexsort((ids, d))[: k + 1] if j != at][:k]
+        out.append((int(ids[at]), [(float(d[j]), int(ids[j])) for j in near]))
+    return sorted(out)
+
+
+def test_nearest_recall_and_scores_where_few_rows_are_ranked_exactly(spark):
+    """At 50,000 rows a query's candidates are under one in a hundred of them; and no row depends on how the table is spread."""
+    rows = table(spark, "/root/testdata/check_l", "embeddings")
+    all_ = [(r.vec_id, r.embedding) for r in rows.collect()]
+    assert ann.DEPTH * 100 < len(all_)
+    want = dict(brute_nearest(all_))
+    got = ann.nearest(rows).collect()
     score = {(r.query_id, r.vec_id): r.score for r in got}
     hits = [(i, j) in score for i, near in want.items() for _, j in near]
     assert np.mean(hits) >= 0.9
@@ -123,12 +127,33 @@ def test_nearest_recall_and_scores(spark):
         assert [r.rank for r in own] == list(range(1, 11)) and own == sorted(own, key=lambda r: (r.score, r.vec_id))
 
 
+def test_nearest_does_not_depend_on_partitions(spark):
+    rows = table(spark, "/root/testdata/sf0.1", "embeddings")
+    got = [sorted(map(tuple, ann.nearest(r, depth=50).collect())) for r in (rows.coalesce(1), rows.repartition(7), rows.repartition(3, "label"))]
+    assert got[0] == got[1] == got[2]
+
+
+def test_nearest_of_repeated_ids_against_brute_force(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(i), [float(x) for x in rng.integers(0, 3, 4) + 1]) for i in rng.integers(0, 12, 60) * 25]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)).collect()
+    want = [(i, r, j, s) for i, near in brute_nearest(rows) for r, (s, j) in enumerate(near, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_nearest_of_many_copies_takes_the_smallest_ids(spark):
+    rows = [(i, [1.0, 2.0, float(i % 3 == 0)]) for i in range(1, 901)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(5), depth=50).collect()
+    assert sorted(map(tuple, got)) == sorted((i, r, j, s) for i, near in brute_nearest(rows) for r, (s, j) in enumerate(near, 1))
+
+
 def test_nearest_hard_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [1.0, 2.0]), (8, [1.0]), (100, [2.0, 0.0]), (9, [])]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").selectExpr("*", "'clash' AS code", "'clash' AS norm", "'clash' AS score", "'clash' AS rank")
-    got = [(r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in ann.nearest(df).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 100, 1.0), (100, 1, 0, 1.0), (100, 2, 1, 1.414214), (100, 3, 2, 1.414214)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").selectExpr("*", "'clash' AS code", "'clash' AS norm", "'clash' AS score", "'clash' AS rank", "'clash' AS uid")
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in ann.nearest(df).collect())
+    far = 1.414214
+    assert got == sorted([(0, 1, 0, 0.0), (0, 2, 1, 1.0), (0, 3, 2, 1.0), (0, 4, 2, 1.0), (0, 5, 100, 1.0)] * 2 + [(100, 1, 0, 1.0), (100, 2, 0, 1.0), (100, 3, 1, far), (100, 4, 2, far), (100, 5, 2, far)])
     assert ann.nearest(df.limit(0)).count() == 0
     assert ann.nearest(df.filter("vec_id = 3")).count() == 0
 

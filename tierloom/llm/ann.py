@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from tierloom.llm.common import ranked, written
 
 #: Codebooks, words in each, states kept while encoding, and rows that the codebooks are fitted on at most.
-BOOKS, WORDS, BEAM, SAMPLE = 16, 64, 8, 10_000
-#: Queries in a block, and candidates of a query that each partition reranks exactly, before it sends the k nearest.
-BLOCK, DEPTH = 4096, 200
-#: Rows that are scored at once.
-ROWS = 4096
+BOOKS, WORDS, BEAM, SAMPLE = 16, 256, 8, 10_000
+#: Queries that a scan has at most, queries and rows that are scored at once, and rows that a task should have at least.
+BLOCK, TILE, ROWS, LEAST = 8192, 32, 1 << 16, 1 << 14
+#: Candidates of a query, of all rows, that are ranked exactly.
+DEPTH = 400
 
 
 class Codebooks:
@@ -33,8 +33,7 @@ class Codebooks:
             for _ in range(8):
                 own = ((centre**2).sum(axis=1) - 2 * rest @ centre.T).argmin(axis=1)
                 n = np.bincount(own, minlength=words)
-                total = np.zeros_like(centre)
-                np.add.at(total, own, rest)
+                total = np.stack([np.bincount(own, rest[:, j], words) for j in range(rest.shape[1])], axis=1).astype(np.float32)
                 centre = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], rest[rng.integers(0, len(rest), words)])
             own = ((centre**2).sum(axis=1) - 2 * rest @ centre.T).argmin(axis=1)
             self.books[m], rest = centre, rest - centre[own]
@@ -50,9 +49,9 @@ class Codebooks:
         """Codes [n, books] and squared norms of the sums. Keeps the ``beam`` partial sums nearest the vector, book by book."""
         n, d = x.shape
         books, words = self.books.shape[:2]
-        rest, codes = x[:, None, :].astype(np.float32), np.zeros((n, 1, 0), np.uint8)
+        rest, codes = x[:, None, :].astype(np.float64), np.zeros((n, 1, 0), np.uint8)  # in double precision, ties don't depend on the batch
         for m in range(books):
-            c = self.books[m]
+            c = self.books[m].astype(np.float64)
             score = (rest**2).sum(axis=2)[:, :, None] - 2 * rest @ c.T + (c**2).sum(axis=1)
             keep = min(beam if m < books - 1 else 1, score.shape[1] * words)
             at = np.argpartition(score.reshape(n, -1), keep - 1, axis=1)[:, :keep]
@@ -80,78 +79,98 @@ def _matrix(column: pa.Array, dtype=np.float32) -> np.ndarray:
 
 
 def index(rows: DataFrame, books: int = BOOKS, words: int = WORDS, sample: int = SAMPLE) -> tuple[DataFrame, Codebooks | None]:
-    """Every row with its code and stored norm; the codebooks are fitted on the ``sample`` rows whose hashed ids are least."""
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()["embedding"].combine_chunks()
+    """uid, code, stored norm and vec_id of every row (uid, vec_id, embedding); the codebooks are fitted on the ``sample`` rows whose hashed ids are least."""
+    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(sample).select("embedding").toArrow()["embedding"].combine_chunks()
     if not len(some):
-        return rows.withColumn("code", F.lit(b"")).withColumn("norm", F.lit(0.0).cast("float")), None
+        return rows.select("uid", F.lit(b"").alias("code"), F.lit(0.0).cast("float").alias("norm"), "vec_id"), None
     model = Codebooks(_matrix(some), books, words)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
                 codes, norms = model.encode(_matrix(part.column(1)))
                 code = pa.array([c.tobytes() for c in codes], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.list_(pa.float64())), code, pa.array(norms.astype(np.float32))], ["vec_id", "embedding", "code", "norm"])
+                yield pa.RecordBatch.from_arrays([part.column(0), code, pa.array(norms.astype(np.float32)), part.column(2)], ["uid", "code", "norm", "vec_id"])
 
-    return written(rows.mapInArrow(encode, "vec_id bigint, embedding array<double>, code binary, norm float"), "codes"), model
+    return written(rows.select("uid", "embedding", "vec_id").mapInArrow(encode, "uid bigint, code binary, norm float, vec_id bigint"), "codes"), model
 
 
-def _search(model: Codebooks, ids: np.ndarray, q: np.ndarray, k: int, depth: int):
-    """The function that finds, in a partition, the k nearest of each query: by tables first, then exactly."""
+def _search(model: Codebooks, queries: np.ndarray, q: np.ndarray, depth: int):
+    """The function that finds, of a partition's codes, the ``depth`` rows that the tables say are nearest each query, ties to the smaller vec_id."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lut = model.tables(q)
-        found: list[list[tuple[float, int]]] = [[] for _ in ids]
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                b = batch.slice(at, ROWS)
-                vec, x = b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1), np.float64)
-                codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                norms = b.column(3).to_numpy(zero_copy_only=False)
-                for lo in range(0, len(ids), 64):
-                    table = lut[lo : lo + 64]
-                    near = norms - 2 * sum(table[:, m, codes[:, m]] for m in range(codes.shape[1]))
-                    most = min(depth, len(vec))
-                    best = np.argpartition(near, most - 1, axis=1)[:, :most]
-                    for i, rows in enumerate(best, lo):
-                        exact = np.sqrt(((x[rows] - q[i]) ** 2).sum(axis=1))
-                        mine = dict[int, float]()
-                        for s, v in [*found[i], *zip(exact.tolist(), vec[rows].tolist(), strict=True)]:
-                            if v != ids[i] and s < mine.get(v, float("inf")):
-                                mine[v] = s
-                        found[i] = sorted((s, v) for v, s in mine.items())[:k]
-        out = [(int(i), v, s) for i, mine in zip(ids, found, strict=True) for s, v in mine]
-        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+        held = [(np.zeros(0, np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q)
+
+        def scan(uid: np.ndarray, codes: np.ndarray, norms: np.ndarray, vec: np.ndarray) -> None:
+            for lo in range(0, len(q), TILE):
+                table = model.tables(q[lo : lo + TILE])
+                near = np.broadcast_to(norms, (len(table), len(norms))).copy()
+                for m in range(codes.shape[1]):
+                    near -= 2 * table[:, m][:, codes[:, m]]
+                for i, own in enumerate(near, lo):
+                    own[uid == queries[i]] = np.inf
+                    score = np.concatenate((held[i][0], own))
+                    some = np.flatnonzero(score <= np.partition(score, depth - 1)[depth - 1]) if len(score) > depth else np.arange(len(score))
+                    old, new = some[some < len(held[i][0])], some[some >= len(held[i][0])] - len(held[i][0])
+                    score, at, of = score[some], *(np.concatenate((h[old], x[new])) for h, x in zip(held[i][1:], (uid, vec), strict=True))
+                    keep = np.lexsort((at, of, score))[:depth]
+                    held[i] = score[keep], at[keep], of[keep]
+
+        parts: list[tuple] = []
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                if part.num_rows:
+                    codes = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                    parts.append((part.column(0).to_numpy(), codes, part.column(2).to_numpy(), part.column(3).to_numpy()))
+                if sum(len(p[0]) for p in parts) >= ROWS:
+                    scan(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+                    parts = []
+        if parts:
+            scan(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+        for lo in range(0, len(q), 256):
+            some = held[lo : lo + 256]
+            whose = np.repeat(queries[lo : lo + 256], [len(h[0]) for h in some])
+            score, uid, vec = (np.concatenate([h[j] for h in some]) for j in range(3))
+            own = np.isfinite(score)
+            yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (whose, uid, score, vec)], ["query", "uid", "near", "vec_id"])
 
     return search
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
-    """For each vec_id that ``every`` divides, the k nearest other vectors found: query_id, rank (from 1), vec_id, score.
+    """For each row whose vec_id ``every`` divides, the k nearest other rows found: query_id, rank (from 1), vec_id, score.
 
     score is the Euclidean distance of the vectors as given, in double precision; ties go to the smaller vec_id. Vectors
     that are null, zero, of another than the commonest length, or with a null or non-finite component take no part, nor
-    do rows without an id. Rows that repeat an id are one candidate, at its smallest distance, and never their own
-    query's; a query's vector is then the least. With fewer candidates than k, all come. An empty table gives no rows.
+    do rows without an id. Rows that repeat an id are rows of their own: as queries, each with k rows of the result, and as
+    candidates of others and of each other. With fewer candidates than k, all come. An empty table gives no rows. Columns but vec_id and
+    embedding are not looked at, whatever their names; a vector has no text, but may be as long as it likes.
 
-    All rows are scored against the queries in blocks of ``block``; a partition sends k rows a query.
+    All codes, without the vectors, are scanned for ``block`` queries at a time. Of all rows, a query's ``depth`` best by
+    its tables are its candidates, however the rows are spread; those are joined with their vectors, and ranked exactly. A task
+    sends ``depth`` rows a query, which is little next to the LEAST codes or more that it scores for it.
     """
-    rows = taking_part(vectors)
+    spark, empty = vectors.sparkSession, "query_id bigint, rank int, vec_id bigint, score double"
+    rows = written(taking_part(vectors).withColumn("uid", F.monotonically_increasing_id()), "vectors").select("uid", "vec_id", "embedding")
     codes, model = index(rows)
-    spark = vectors.sparkSession
     if model is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    queries = codes.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    queries = written(ranked(queries, [], [F.col("vec_id")], "queries").withColumn("block", F.floor(F.col("rank") / block)), "queries")
-    found = None
-    for i in range((queries.agg(F.max("block")).first()[0] if queries.take(1) else -1) + 1):
-        own = queries.filter(F.col("block") == i).orderBy("vec_id").select("vec_id", "embedding").toArrow()
-        some = _search(model, own["vec_id"].to_numpy(), _matrix(own["embedding"].combine_chunks(), np.float64), k, depth)
-        part = codes.mapInArrow(some, "query_id bigint, vec_id bigint, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-        w = Window.partitionBy("query_id").orderBy("score", "vec_id")
-        part = written(part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
+        return spark.createDataFrame([], empty)
+    codes = codes.coalesce(max(1, min(codes.count() // LEAST, 1 << 30)))
+    queries = written(ranked(rows.filter(F.col("vec_id") % every == 0), [], [F.col("vec_id"), F.col("uid")], "queries").withColumn("block", F.floor(F.col("rank") / block)), "queries")
+    last = queries.agg(F.max("block")).first()[0]
+    if last is None:
+        return spark.createDataFrame([], empty)
+    best, found = Window.partitionBy("query").orderBy("near", "vec_id", "uid"), None
+    for i in range(last + 1):
+        own = queries.filter(F.col("block") == i).orderBy("rank").select("uid", "embedding").toArrow()
+        scan = _search(model, own["uid"].to_numpy(), _matrix(own["embedding"].combine_chunks()), depth)
+        part = codes.mapInArrow(scan, "query bigint, uid bigint, near float, vec_id bigint")
+        part = written(part.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= depth).select("query", "uid"), "candidates")
         found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    return found
+    asked = queries.select(F.col("uid").alias("query"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    both = found.join(rows, "uid").join(asked, "query")
+    score = F.sqrt(F.aggregate(F.zip_with(F.col("embedding").cast("array<double>"), F.col("q").cast("array<double>"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
+    ranks = both.select("query", "query_id", "vec_id", "uid", score.alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id", "uid")))
+    return ranks.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
