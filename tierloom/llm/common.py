@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tierloom.operators.tables import components, fresh, join_groups, partitions, ranked, table, written
+from tierloom.operators.tables import HEAVY, components, fresh, join_groups, partitions, ranked, table, written
 
-__all__ = ["SPACE", "WORD", "components", "fresh", "join_groups", "partitions", "ranked", "table", "written"]
+__all__ = ["HEAVY", "SPACE", "WORD", "components", "fresh", "join_groups", "partitions", "ranked", "table", "written"]
 
 #: The characters of ``[\x20\x09-\x0D]``, as they are written in Java and RE2 patterns.
 SPACE = r"[\x20\x09-\x0D]"
