@@ -1,8 +1,12 @@
 import hashlib
 import random
 import struct
+from collections import Counter
+from math import log
 
+import numpy as np
 import public_tokenizers
+import pytest
 import regex
 import tiktoken
 from pyspark.sql import functions as F
@@ -63,23 +67,53 @@ def test_columns_stay_and_empty_tables(spark):
     assert token_counts.counted(hard(spark, empty=True)).count() == 0
 
 
-def brute_count(word: bytes, score, longest):
-    best = [(0.0, 0)]
+def brute_cut(word, score, longest):
+    """The likeliest cut of a word, of equal ones with the fewest tokens, of those with the earliest last token."""
+    best = [(0.0, 0, [])]
     for end in range(1, len(word) + 1):
-        options = [(best[s][0] + score[word[s:end]], -(best[s][1] + 1)) for s in range(max(0, end - longest), end) if word[s:end] in score]
-        top = max(options)
-        best.append((top[0], -top[1]))
-    return best[-1][1]
+        options = [(best[s][0] + score[word[s:end]], -(best[s][1] + 1), -s) for s in range(max(0, end - longest), end) if word[s:end] in score]
+        top, n, s = max(options)
+        best.append((top, -n, [*best[-s][2], word[-s:end]]))
+    return best[-1][2]
 
 
-def test_token_counts_against_brute_force(spark):
+def brute_model(texts, rounds):
     score, longest = token_counts.vocabulary(token_counts.VOCABULARY)
+    words = Counter(w.encode() for t in texts for w in regex.findall(public_tokenizers.PATTERN, t))
+    for _ in range(rounds):
+        n = Counter()
+        for w, k in words.items():
+            for t in brute_cut(w, score, longest):
+                n[t] += k
+        score = {t: log((n[t] + 1) / (n.total() + len(score))) for t in score}
+    return score, longest
+
+
+@pytest.mark.parametrize("sent", [token_counts.SENT, 20])
+def test_token_counts_against_brute_force(spark, monkeypatch, sent):
+    monkeypatch.setattr(token_counts, "SENT", sent)
     find = regex.compile(public_tokenizers.PATTERN).findall
-    docs = documents(spark).limit(30).select("doc_id", "text").unionByName(hard(spark).select("doc_id", "text").filter("doc_id <> 11 or doc_id is null"))
-    want = sorted((str(r.doc_id), len(find(r.text or "")), sum(brute_count(w.encode(), score, longest) for w in find(r.text or "")), len((r.text or "").encode())) for r in docs.collect())
+    docs = documents(spark).limit(30).select("doc_id", "text").unionByName(hard(spark).select("doc_id", "text").withColumn("text", F.when(F.col("doc_id") == 11, F.repeat(F.lit("ab"), 400)).otherwise(F.col("text"))))
+    rows = docs.collect()
+    score, longest = brute_model([r.text or "" for r in rows], token_counts.ROUNDS)
+    cut = {w: len(brute_cut(w.encode(), score, longest)) for r in rows for w in find(r.text or "")}
+    want = sorted((str(r.doc_id), len(find(r.text or "")), sum(cut[w] for w in find(r.text or "")), len((r.text or "").encode())) for r in rows)
     assert sorted((str(r.doc_id), r.n_pretokens, r.n_tokens, r.n_bytes) for r in token_counts.counted(docs).collect()) == want
 
 
+def test_a_very_long_pretoken_is_cut_whole(spark):
+    text = "".join(chr(97 + i * i % 23) for i in range(50_000))
+    (r,) = token_counts.counted(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert (r.n_pretokens, r.n_bytes) == (1, 50_000) and 50_000 / 128 <= r.n_tokens <= 50_000
+
+
+def test_learned_probabilities_sum_to_one_and_follow_the_counts(spark):
+    words = spark.createDataFrame([(" the", 900), (" q", 1)], "w string, n bigint")
+    p = np.exp(token_counts.learned(words))
+    tokens = token_counts.tokens_of(token_counts.VOCABULARY)
+    assert abs(p.sum() - 1) < 1e-9 and tokens[int(p.argmax())] == b" the"
+
+
 def test_probabilities_sum_to_one():
     from math import exp
 

@@ -214,11 +214,11 @@ def _nested(starts: np.ndarray, values) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), values)
 
 
-def _sliced(batch: pa.RecordBatch, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of AT_ONCE words, by the words before each row, or of one row."""
+def sliced(batch: pa.RecordBatch, ends: np.ndarray, at_once: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of ``at_once`` words, by the words before each row, or of one row."""
     lo = 0
     while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + AT_ONCE, side="right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + at_once, side="right")) - 1)
         yield batch.slice(lo, hi - lo)
         lo = hi
 
@@ -231,7 +231,7 @@ def _looked_up(words: pa.Array) -> Callable:
     """Replaces the last column, a document's words, by two: the words' numbers (32 bits) in ``words``, or -1 - j for the document's j-th other word; and those others, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (s for whole in batches for s in _sliced(whole, whole.column(whole.num_columns - 1).offsets.to_numpy())):
+        for b in (s for whole in batches for s in sliced(whole, whole.column(whole.num_columns - 1).offsets.to_numpy(), AT_ONCE)):
             starts, flat = _lists(b.column(b.num_columns - 1))
             at = pc.index_in(flat, value_set=words)
             unknown = at.is_null().to_numpy(zero_copy_only=False)
@@ -314,7 +314,7 @@ class Tokenizer:
         table, path = self.spark.sparkContext.broadcast((starts_of, ids_of.to_numpy().astype(np.int32))), self.path
 
         def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in (s for whole in batches for s in _sliced(whole, _code_ends(whole.column(whole.num_columns - 3)))):
+            for b in (s for whole in batches for s in sliced(whole, _code_ends(whole.column(whole.num_columns - 3)), AT_ONCE)):
                 yield finish(b.columns[:-3], *_filled(b, *table.value, lambda: ranks(path)))
 
         return looked.withColumn("folded", fold).mapInArrow(fill, schema)
