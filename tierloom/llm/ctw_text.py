@@ -25,7 +25,7 @@ from tierloom.llm.common import partitions, written
 from tierloom.llm.ctw import CUT, DEPTH, END, SENT, Top, _at_depth, _batch, _summed, _texts, log10_bytes, subtrees, tokens
 
 #: Bytes of text at least in a chunk, unless it is a task's last; a text is never cut.
-CHUNK = 14_000_000
+CHUNK = 28_000_000
 #: Bytes of text at least whose keys are sorted at once.
 SLICE = 3_000_000
 PARTS = 1024
@@ -73,6 +73,19 @@ def unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(wide, n).T).view(kind).reshape(n)
 
 
+#: A unit of the log-probabilities of bytes as they move: 2**-UNIT.
+UNIT = 20
+
+
+def _units(lp: np.ndarray) -> bytes:
+    """log10 of probabilities in whole units; their high bytes, which are mostly alike, compress."""
+    return packed(np.rint(lp * -float(1 << UNIT)).astype(np.uint32))
+
+
+def _logs(data: bytes, n: int) -> np.ndarray:
+    return unpacked(data, n, np.uint32) * -(1.0 / (1 << UNIT))
+
+
 def _keys(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(unpacked(data, n, np.uint64), dtype=np.uint64)
 
@@ -199,8 +212,8 @@ def _key_scores(gathered: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, chunks, keys, key, n in _parts(batches):
-            lp = np.concatenate([log10_bytes(key[s], n[s], top) for s in _pieces(key)]).astype(np.float32)
-            data = [packed(lp[np.searchsorted(key, k)]) for k in keys]
+            lp = np.concatenate([log10_bytes(key[s], n[s], top) for s in _pieces(key)])
+            data = [_units(lp[np.searchsorted(key, k)]) for k in keys]
             yield _batch("chunk part data", pa.array(chunks, pa.int64()), pa.array([part] * len(chunks), pa.int32()), pa.array(data, pa.binary()))
 
     return blobs.mapInArrow(score, "chunk bigint, part int, data binary")
@@ -234,7 +247,7 @@ def _text_scores(gathered: DataFrame) -> DataFrame:
             key, _ = _distinct(np.concatenate([k for k, _, _ in slices]))
             order, parts = _by_part(key)
             lp = np.empty(len(order))
-            lp[order] = np.concatenate([unpacked(s, n, np.float32) for s, n in zip(scores, parts[parts > 0], strict=True)])
+            lp[order] = np.concatenate([_logs(s, n) for s, n in zip(scores, parts[parts > 0], strict=True)])
             sums = np.concatenate([np.add.reduceat(lp[np.searchsorted(key, k)][which], np.cumsum(sizes) - sizes) for k, which, sizes in slices])
             size = np.concatenate([sizes for _, _, sizes in slices])
             cols = [pa.array(c, t) for c, t in zip(zip(*about, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()), strict=True)]
