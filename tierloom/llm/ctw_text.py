@@ -25,7 +25,7 @@ from tierloom.llm.common import partitions, written
 from tierloom.llm.ctw import CUT, DEPTH, END, SENT, Top, _at_depth, _batch, _summed, _texts, log10_bytes, subtrees, tokens
 
 #: Bytes of text at least in a chunk, unless it is a task's last; a text is never cut.
-CHUNK = 28_000_000
+CHUNK = 20_000_000
 #: Bytes of text at least whose keys are sorted at once.
 SLICE = 3_000_000
 PARTS = 1024
@@ -62,6 +62,14 @@ def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.diff(np.append(first, len(key)))
 
 
+def _added(key: np.ndarray, n: np.ndarray, more: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted, distinct keys and their numbers, with others put in between; holds little besides the result. ``n`` is changed."""
+    at = np.searchsorted(key, more)
+    new = key[np.minimum(at, len(key) - 1)] != more if len(key) else np.ones(len(more), bool)
+    n[at[~new]] += times[~new]
+    return np.insert(key, at[new], more[new]), np.insert(n, at[new], times[new])
+
+
 def packed(x: np.ndarray) -> bytes:
     """Numbers, compressed by planes of their bytes."""
     return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), codec="zstd", asbytes=True)
@@ -110,14 +118,14 @@ def _gathered(rows: DataFrame, common: dict[bytes, tuple[bool, float]]) -> DataF
         def sliced(texts: list[tuple[bytes, bool]], number: int, k: np.ndarray, c: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
             for out_ in (False, True):
                 more, n = _distinct(keys_of([t for t, o in texts if o == out_]))
-                k, c = _summed(np.concatenate((k, more)), np.concatenate((c, np.zeros(len(more), np.int64) if out_ else n)))
+                k, c = _added(k, c, more, np.zeros(len(more), np.uint32) if out_ else n.astype(np.uint32))
             sizes = np.fromiter((len(t) for t, _ in texts), np.int64, len(texts))
             data = b"".join(t for t, _ in texts)
             return out([(chunk, -3, number, len(data), None, len(texts), None, None, pa.compress(data, codec="zstd", asbytes=True), packed(sizes))]), k, c
 
         def closed(k: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
             order, sizes = _by_part(k)
-            k, c = k[order], c[order].astype(np.uint32)
+            k, c = k[order], c[order]
             ends = np.cumsum(sizes)
             rows_ = [
                 (chunk, p, None, None, None, int(n), None, None, packed(np.diff(k[e - n : e], prepend=np.uint64(0))), packed(c[e - n : e]))
@@ -126,7 +134,7 @@ def _gathered(rows: DataFrame, common: dict[bytes, tuple[bool, float]]) -> DataF
             ]
             yield out(rows_)
 
-        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         texts, size, number, all_, (k, c) = [], 0, 0, 0, none
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
@@ -238,16 +246,22 @@ def _text_scores(gathered: DataFrame) -> DataFrame:
                     key = key[at]
                     first = np.concatenate(([True], key[1:] != key[:-1]))
                     which = np.empty(len(key), np.int32)
-                    which[at] = np.cumsum(first) - 1
+                    which[at] = np.cumsum(first, dtype=np.int32) - 1
                     slices.append((key[first], which, sizes))
+                    del data, key, at, first
                 elif r[1] == -1:
                     about.append(r[2:8])
                 else:
                     scores.append(r[8])
-            key, _ = _distinct(np.concatenate([k for k, _, _ in slices]))
+            key = slices[0][0]
+            for more, _, _ in slices[1:]:
+                at = np.searchsorted(key, more)
+                new = key[np.minimum(at, len(key) - 1)] != more
+                key = np.insert(key, at[new], more[new])
             order, parts = _by_part(key)
             lp = np.empty(len(order))
             lp[order] = np.concatenate([_logs(s, n) for s, n in zip(scores, parts[parts > 0], strict=True)])
+            scores.clear()
             sums = np.concatenate([np.add.reduceat(lp[np.searchsorted(key, k)][which], np.cumsum(sizes) - sizes) for k, which, sizes in slices])
             size = np.concatenate([sizes for _, _, sizes in slices])
             cols = [pa.array(c, t) for c, t in zip(zip(*about, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()), strict=True)]
