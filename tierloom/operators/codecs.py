@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierloom.functions.vectors import sign_words
+from tierloom.operators import pq_train
 from tierloom.operators.search import matrix
+from tierloom.operators.tables import ranked, written
 
 
 def _batch(names: list[str], *cols) -> pa.RecordBatch:
@@ -63,6 +65,12 @@ class SQ8:
 
         return rows.select("id", "vector").mapInArrow(run, "id bigint, vector array<double>, code binary")
 
+    def add(self, coded: DataFrame, rows: DataFrame) -> DataFrame:
+        """More rows, encoded by the same ranges, after those that there are; their ids go on from the last one's."""
+        last = coded.agg(F.max("id")).first()[0]
+        more = ranked(rows.select("id", "vector"), [], [F.col("id")], "added").select((F.col("rank") + (0 if last is None else last + 1)).alias("id"), "vector")
+        return coded.select("id", "code").unionByName(self.encode(more).select("id", "code"))
+
     def scorer(self, q: np.ndarray):
         """Inner products with the decoded rows, without decoding them: (q * scale) @ codes + q @ mins."""
         scaled, offset = q * self.scale, q @ self.mins
@@ -93,6 +101,25 @@ class Binary:
         return score
 
 
+    @staticmethod
+    def decode(coded: DataFrame) -> DataFrame:
+        """id and vector, of ones and minus ones. coded: id, code and d, the dimensions."""
+        bit = lambda i: F.getbit(F.get("code", F.floor(i / 63).cast("int")), i % 63)
+        return coded.select("id", F.transform(F.sequence(F.lit(0), F.col("d") - 1), lambda i: (bit(i) * 2 - 1).cast("double")).alias("vector"))
+
+    @staticmethod
+    def words_scorer(q: np.ndarray):
+        """The same from the codes alone, 63 bits a word."""
+        bits = (q > 0).astype(np.uint64)
+        own = np.stack([(bits[:, i : i + 63] << np.arange(min(63, q.shape[1] - i), dtype=np.uint64)).sum(axis=1, dtype=np.uint64) for i in range(0, q.shape[1], 63)], axis=1)
+
+        def score(b: pa.RecordBatch) -> np.ndarray:
+            words = matrix(b.column(b.schema.get_field_index("code")), np.int64).view(np.uint64)
+            return -np.array([np.bitwise_count(words ^ o).sum(axis=1, dtype=np.int64) for o in own], np.float64).reshape(len(own), -1)
+
+        return score
+
+
 class PQ:
     """m subspaces of 256 words each; a row is the numbers of its words."""
 
@@ -100,8 +127,20 @@ class PQ:
 
     def __init__(self, words: np.ndarray):
         """words: [m, 256, d / m]"""
+        if words.ndim != 3 or not 1 <= words.shape[1] <= 256:
+            raise ValueError("words must be of m subspaces, 1 to 256 in each: a code has eight bits a subspace")
         self.words = words
 
+    @staticmethod
+    def subspaces(d: int, m: int | None = None, bits: int = 8) -> int:
+        """The number of subspaces, by default a fourth of the dimensions, of which it must be a divisor; codes have eight bits."""
+        if bits != 8:
+            raise ValueError("codes have eight bits a subspace")
+        m = max(1, d // 4) if m is None else m
+        if m < 1 or d % m:
+            raise ValueError(f"{m} subspaces don't divide {d} dimensions")
+        return m
+
     @classmethod
     def from_rows(cls, rows: DataFrame, m: int, n: int = 256) -> PQ:
         """The subvectors of the n rows with the smallest ids as words: a codebook that needs no training."""
@@ -109,43 +148,30 @@ class PQ:
         return cls(x.reshape(len(x), m, -1).transpose(1, 0, 2))
 
     @classmethod
-    def fit(cls, rows: DataFrame, m: int, sample: int = 120_000, rounds: int = 25, seed: int = 1337) -> PQ:
-        """k-means a subspace, each in a task of its own, on the ``sample`` rows whose hashed ids are least."""
-        some = rows.orderBy(F.xxhash64("id"), "id").limit(sample)
-        d = F.size("vector") / m
+    def fit(cls, rows: DataFrame, m: int | None = None, sample: int = 120_000, seed: int = 1337) -> PQ:
+        """Words of each subspace, trained in a task of its own, on the ``sample`` rows whose hashed ids are least."""
+        some = written(rows.orderBy(F.xxhash64("id"), "id").limit(sample), "sample")
+        dims = some.agg(F.max(F.size("vector"))).first()[0]
+        if not dims:
+            raise ValueError("nothing to fit on")
+        m, eta = cls.subspaces(dims, m), cls.ETA
+        d = dims // m
         parts = some.select(F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"), "id", "vector")
-        parts = parts.select("j", "id", F.slice("vector", (F.col("j") * d + 1).cast("int"), d.cast("int")).alias("x"))
+        parts = parts.select("j", "id", F.slice("vector", F.col("j") * d + 1, F.lit(d)).alias("x"))
 
         def train(t: pa.Table) -> pa.Table:
             x, j = matrix(t.sort_by("id")["x"]), t["j"][0].as_py()
-            rng = np.random.default_rng([seed, j])
-            n = min(256, len(x))
-            c = x[rng.choice(len(x), n, replace=False)]
-            for _ in range(rounds):
-                own = ((c**2).sum(axis=1) - 2 * x @ c.T).argmin(axis=1)
-                size, total = np.bincount(own, minlength=n), np.zeros_like(c)
-                np.add.at(total, own, x)
-                far = np.argsort(-((x - c[own]) ** 2).sum(axis=1), kind="stable")[: int((size == 0).sum())]
-                new = total / np.maximum(size, 1)[:, None]
-                new[size == 0] = x[far]
-                if np.abs(new - c).max() < 1e-9:
-                    break
-                c = new
-            return pa.table({"j": pa.array([j], pa.int32()), "words": pa.array([c.ravel().tolist()], pa.list_(pa.float64())), "n": pa.array([n], pa.int32())})
-
-        got = parts.groupBy("j").applyInArrow(train, "j int, words array<double>, n int").orderBy("j").toArrow()
-        return cls(np.array([np.array(w).reshape(n, -1) for w, n in zip(got["words"].to_pylist(), got["n"].to_pylist(), strict=True)]))
+            words = pq_train.train(x, min(256, len(x)), eta, np.random.default_rng([seed, j]))
+            return pa.table({"j": pa.array([j], pa.int32()), "words": pa.array([words.ravel().tolist()], pa.list_(pa.float64()))})
+
+        got = parts.groupBy("j").applyInArrow(train, "j int, words array<double>").orderBy("j").toArrow()
+        return cls(np.array([np.array(w).reshape(-1, d) for w in got["words"].to_pylist()]))
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         """The word with the least anisotropic cost: |c|^2 - 2 eta (x.c) + (eta - 1) (x.c)^2 / |x|^2, x the subvector."""
         m = len(self.words)
         parts = x.reshape(len(x), m, -1)
-        out = np.zeros((len(x), m), np.uint8)
-        for j in range(m):
-            t = parts[:, j] @ self.words[j].T
-            size = np.maximum((parts[:, j] ** 2).sum(axis=1), 1e-30)
-            out[:, j] = ((self.words[j] ** 2).sum(axis=1) - 2 * self.ETA * t + (self.ETA - 1) / size[:, None] * t * t).argmin(axis=1)
-        return out
+        return np.stack([pq_train.anisotropic_costs(parts[:, j], self.words[j], self.ETA).argmin(axis=1).astype(np.uint8) for j in range(m)], axis=1)
 
     def encode(self, rows: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +18,20 @@ from tierloom.operators.tables import ranked, written
 
 BLOCK = 4096
 ROWS = 8192
+#: Queries of a block that are scored at once.
+TILE = 256
 Scorer = Callable[[np.ndarray], Callable[[pa.RecordBatch], np.ndarray]]
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dtype=np.float64) -> np.ndarray:
+    """Lists of one length as rows. No rows give an empty matrix; a null, or lists of different lengths, are an error, as their numbers would be of other rows."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, 0), dtype)
+    sizes = pc.list_value_length(column)
+    if column.null_count or pc.min_max(sizes)["min"] != pc.min_max(sizes)["max"]:
+        raise ValueError("vectors must not be null, and all of one length")
     return column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(len(column), -1)
 
 
@@ -59,19 +68,21 @@ def top_k(rows: DataFrame, queries: DataFrame, scorer: Scorer, k: int, but_itsel
 
 def _scan(query_ids: np.ndarray, q: np.ndarray, scorer: Scorer, k: int, but_itself: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = scorer(q)
+        tiles = [(lo, scorer(q[lo : lo + TILE])) for lo in range(0, len(q), TILE)]
         held = [(np.zeros(0), np.zeros(0, np.int64))] * len(q)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 b = whole.slice(at, ROWS)
-                ids, s = b.column(0).to_numpy(zero_copy_only=False), score(b)
-                for i in range(len(q)):
-                    own = s[i]
-                    if but_itself:
-                        own = np.where(ids == query_ids[i], -np.inf, own)
-                    x, y = np.concatenate([held[i][0], own]), np.concatenate([held[i][1], ids])
-                    keep = best(x, y, k)
-                    held[i] = (x[keep], y[keep])
+                if not b.num_rows:
+                    continue
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                for lo, score in tiles:
+                    for i, own in enumerate(score(b), lo):
+                        if but_itself:
+                            own = np.where(ids == query_ids[i], -np.inf, own)
+                        x, y = np.concatenate([held[i][0], own]), np.concatenate([held[i][1], ids])
+                        keep = best(x, y, k)
+                        held[i] = (x[keep], y[keep])
         rows = [(np.full(len(x), qid, np.int64), y, x) for qid, (x, y) in zip(query_ids, held, strict=True)]
         if rows:
             qid, ids, s = (np.concatenate([r[j] for r in rows]) for j in range(3))

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from tierloom.functions import text as ft
 from tierloom.functions import vectors as fv
+from tierloom.functions import zstd
 from tierloom.operators import dedup, traces
-from tierloom.operators.codecs import PQ, SQ8, Binary, recall_at, recalls
+from tierloom.operators.codecs import PQ, SQ8, Binary, recall_at
 from tierloom.operators.search import inner, rerank, top_k
 from tierloom.operators.tables import ranked, table, written
-from tierloom.plans import tiers
+from tierloom.plans import recall, tiers
 from tierloom.sources import canonical
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,14 +152,14 @@ def sq8_decode_error(spark, sf_dir):
 def sq8_search(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     codec = SQ8.fit(rows)
-    return _rounded(top_k(codec.encode(rows), asked(rows), codec.scorer, K))
+    return _rounded(top_k(written(codec.encode(rows).select("id", "code"), "codes"), asked(rows), codec.scorer, K))
 
 
 @query(f"WITH {E_}, {FIT}, t AS ({_top('list_dot_product(y, qv)', 'd', 50)}), r AS (SELECT t.query_id, t.id, list_dot_product(v, qv) AS s FROM t JOIN e USING (id) JOIN q ON q.query_id = t.query_id), u AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank, id, s AS score FROM r QUALIFY rank <= 10) {_out('u')}")
 def sq8_rerank_exact(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     codec = SQ8.fit(rows)
-    found = top_k(codec.encode(rows), asked(rows), codec.scorer, 50)
+    found = top_k(written(codec.encode(rows).select("id", "code"), "codes"), asked(rows), codec.scorer, 50)
     return _rounded(rerank(found, rows, asked(rows), K))
 
 
@@ -176,13 +177,15 @@ HAM = "-len(list_filter(range(1, len(v) + 1), lambda i: (v[i] > 0) <> (qv[i] > 0
 @query(f"WITH {E_}, t AS ({_top(HAM, 'e')}) {_out('t')}")
 def hamming_topk(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    return _rounded(top_k(rows, asked(rows), Binary.scorer, K))
+    codes = written(Binary.encode(rows).select("id", "code"), "codes")
+    return _rounded(top_k(codes, asked(rows), Binary.words_scorer, K))
 
 
 @query(f"WITH {E_}, t AS ({_top(HAM, 'e', 100)}), r AS (SELECT t.query_id, t.id, list_dot_product(v, qv) AS s FROM t JOIN e USING (id) JOIN q ON q.query_id = t.query_id), u AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank, id, s AS score FROM r QUALIFY rank <= 10) {_out('u')}")
 def binary_rerank(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    return _rounded(rerank(top_k(rows, asked(rows), Binary.scorer, 100), rows, asked(rows), K))
+    codes = written(Binary.encode(rows).select("id", "code"), "codes")
+    return _rounded(rerank(top_k(codes, asked(rows), Binary.words_scorer, 100), rows, asked(rows), K))
 
 
 PQ_SQL = """b AS (SELECT v, row_number() OVER (ORDER BY id) - 1 AS w FROM e ORDER BY id LIMIT 256),
@@ -202,14 +205,14 @@ def pq_encode_fixed(spark, sf_dir):
 def pq_adc_search(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     codec = PQ.from_rows(rows, M)
-    return _rounded(top_k(codec.encode(rows), asked(rows), codec.scorer, K))
+    return _rounded(top_k(written(codec.encode(rows).select("id", "code"), "codes"), asked(rows), codec.scorer, K))
 
 
 @query()
 def pq_fit_search(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     codec = PQ.fit(rows, M)
-    found = top_k(codec.encode(rows), asked(rows), codec.scorer, 200)
+    found = top_k(written(codec.encode(rows).select("id", "code"), "codes"), asked(rows), codec.scorer, 200)
     return _rounded(rerank(found, rows, asked(rows), K))
 
 
@@ -217,24 +220,14 @@ def pq_fit_search(spark, sf_dir):
 def recall_at_k(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     codec = SQ8.fit(rows)
-    return recall_at(top_k(rows, asked(rows), inner, K), top_k(codec.encode(rows), asked(rows), codec.scorer, K), K)
+    return recall_at(top_k(rows, asked(rows), inner, K), top_k(written(codec.encode(rows).select("id", "code"), "codes"), asked(rows), codec.scorer, K), K)
 
 
 @query()
 def verify_tiers(spark, sf_dir):
-    """Per codec: recall among 1, 10 and 100, and bytes of codes and of what rows share."""
+    """Per codec: recall among 1, 10 and 100 on queries that aren't in the database, and bytes of codes and of what rows share."""
     rows = vectors(spark, sf_dir)
-    q = asked(rows)
-    truth = written(top_k(rows, q, inner, 100), "truth")
-    sq8, pq = SQ8.fit(rows), PQ.fit(rows, M)
-    found = {"sq8": top_k(sq8.encode(rows), q, sq8.scorer, 100), "pq": rerank(top_k(pq.encode(rows), q, pq.scorer, 200), rows, q, 100), "binary": rerank(top_k(rows, q, Binary.scorer, 500), rows, q, 100)}
-    out = None
-    for name, f in found.items():
-        f = written(f, name)
-        row = recalls(truth, f, (1, 10, 100)).select(F.lit(name).alias("codec"), "*")
-        out = row if out is None else out.unionByName(row)
-    sizes = rows.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).select(tiers.codec_bytes(F.col("n"), F.col("d")).alias("x")).select("x.*")
-    return out.join(sizes, "codec")
+    return recall.verify(rows.filter(F.col("id") % EVERY != 0), asked(rows), M)
 
 
 @query("SELECT codec, (n * per)::BIGINT AS codes, aux::BIGINT AS aux FROM (SELECT count(*) AS n, max(len(embedding)) AS d FROM embeddings), LATERAL (VALUES ('fp32', 4 * d, 0), ('sq8', d, 8 * d), ('pq', d // 4, 1024 * d), ('binary', d // 8, 0)) t(codec, per, aux)")
@@ -364,7 +357,12 @@ def content_refs(spark, sf_dir):
     return docs.join(refs, "sha").select("doc_id", "ref")
 
 
-@query()
+@query(
+    "WITH p AS (SELECT DISTINCT text, sha256(text) AS sha, encode(text) AS b FROM documents WHERE text IS NOT NULL), "
+    "h AS (SELECT sha, b, CASE WHEN octet_length(b) > 256 THEN b[1:256] ELSE b END AS a FROM p), "
+    "k AS (SELECT sha, substr(regexp_replace(regexp_replace(hex(a), '(..)', '\\1 ', 'g'), '((09|0A|0B|0C|0D|20) )+', '20 ', 'g'), 1, 192) AS k0, substr(hex(b), 1, 192) AS k1 FROM h) "
+    "SELECT row_number() OVER (ORDER BY k0, k1, sha) - 1 AS item, sha FROM k"
+)
 def pack_order(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("body", F.encode("text", "UTF-8"))
     return traces.pack(traces.intern(docs, "body", ["doc_id"])).select("item", "sha")
@@ -403,10 +401,13 @@ def residual_rate(spark, sf_dir):
     return events(spark, sf_dir).agg(F.count("*").alias("n"), (F.count_if(F.col("residual").isNotNull()) / F.count("*")).alias("rate"))
 
 
-@query("SELECT count(*) AS left_lines, count(*) AS right_lines, 0::BIGINT AS mismatches FROM conversations")
+@query(f"WITH {LINES} SELECT line_index, sha256(raw) AS warm, sha256(raw) AS cold FROM r")
 def tier_equality(spark, sf_dir):
-    """The lines of two tiers that were shredded apart."""
-    return traces.differences(traces.replay(_bundle(spark, sf_dir)), traces.replay(_bundle(spark, sf_dir)))
+    """The digests of each line as two tiers replay it: the warm one's payloads are read from parquet, the cold one's from zstd frames."""
+    bundle = _bundle(spark, sf_dir)
+    cold = {n: df if n == "structured" else zstd.decompressed(written(zstd.compressed(df, "body", 19), n), "body") for n, df in bundle.items()}
+    sha = lambda b, name: traces.replay(b).select("line_index", F.sha2("raw", 256).alias(name))
+    return sha(bundle, "warm").join(sha(cold, "cold"), "line_index", "full_outer")
 
 
 # --- duplicates

@@ -20,7 +20,7 @@ from tierloom.operators.search import inner, rerank, top_k
 from tierloom.plans.tiers import spec_for
 from tierloom.sources import canonical
 from tierloom.sources.embeddings import read_embeddings
-from tierloom.sources.lines import read_lines
+from tierloom.sources.lines import read_lines, trace_files
 
 FORMAT = 1
 CODECS = {"hot": (None,), "warm": ("sq8",), "cold": ("pq", "binary")}
@@ -31,14 +31,14 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str, create: bool = True):
         self.spark, self.path = spark, Path(path)
-        self._manifest = self.path / "manifest.json"
+        self._manifest, self._closed, self._embed = self.path / "manifest.json", False, None
         if self._manifest.exists():
             self.manifest = json.loads(self._manifest.read_text())
             if self.manifest.get("format") != FORMAT:
                 raise StoreError(f"{path}: unknown format {self.manifest.get('format')}")
         elif create:
             self.path.mkdir(parents=True, exist_ok=True)
-            self.manifest = {"format": FORMAT, "created_at": int(time.time()), "traces": {}, "vectors": {}, "checksums": {}}
+            self.manifest = {"format": FORMAT, "created_at": int(time.time()), "traces": {}, "vectors": {}, "checksums": {}, "corpora": {}}
             self._save()
         else:
             raise StoreError(f"no store at {path}")
@@ -47,7 +47,26 @@ class Store:
         return self
 
     def __exit__(self, *_) -> None:
-        self._save()
+        self.close()
+
+    def close(self) -> None:
+        """The store can't be used after that; closing it again does nothing."""
+        if not self._closed:
+            self._save()
+        self._closed = True
+
+    def _open(self) -> None:
+        if self._closed:
+            raise StoreError("the store is closed")
+
+    def _source(self, files: list[tuple[str, str]]) -> str:
+        """The digest of a corpus, of its files' names and digests in order of the names; and the ledger's entry of it, one for each corpus."""
+        h = hashlib.sha256()
+        for name, path in sorted(files):
+            h.update(f"{len(name)}:{name}:{_sha256(Path(path))}\n".encode("utf-8", "surrogateescape"))
+        entry = self.manifest.setdefault("corpora", {}).setdefault(h.hexdigest(), {"files": []})
+        entry["files"] = sorted({*entry["files"], *(n for n, _ in files)})
+        return h.hexdigest()
 
     def _save(self) -> None:
         new = self._manifest.with_suffix(".new")
@@ -69,6 +88,7 @@ class Store:
 
     def put_traces(self, path: str, tier: str = "cold") -> dict:
         """Shreds the JSONL files at ``path``; returns counts and the tier's bytes."""
+        self._open()
         if tier not in ("warm", "cold"):
             raise StoreError(f"traces can't go to the {tier} tier")
         if tier in self.manifest["traces"]:
@@ -79,11 +99,13 @@ class Store:
         self._write(events, at / "_events")
         events = self.spark.read.parquet(str(at / "_events"))
         for name, df in traces.shred(events).items():
-            self._write(df, at / name, level)
+            # lines in order: within a file, neighbours are alike and compress; items likewise
+            order = ["file", "line_index"] if name == "structured" else ["item"]
+            self._write(df.repartitionByRange(*order).sortWithinPartitions(*order), at / name, level)
         stats = canonical.stats(events).first().asDict()
         self._write(canonical.quarantine(events), at / "quarantine")
         self._delete(at / "_events")
-        self.manifest["traces"][tier] = stats | {"bytes": self._seal(at)}
+        self.manifest["traces"][tier] = stats | {"bytes": self._seal(at), "corpus": self._source(trace_files(path))}
         self._save()
         return self.manifest["traces"][tier]
 
@@ -100,6 +122,7 @@ class Store:
 
     def replay_raw(self, trace_id: str) -> list[bytes]:
         """The lines of one trace, in order; all tiers that have it must agree."""
+        self._open()
         if not self.manifest["traces"]:
             raise StoreError("the store has no traces")
         found = {t: [bytes(r.raw) for r in traces.replay(self.bundle(t), trace_id).orderBy("file", "line_index").collect()] for t in self.manifest["traces"]}
@@ -115,6 +138,7 @@ class Store:
 
     def put_embeddings(self, path: str, tier: str = "warm", codec: str | None = None, dims: int | None = None, m: int | None = None) -> dict:
         """Normalizes, cuts to ``dims`` and encodes the vectors at ``path``."""
+        self._open()
         codec = codec or CODECS.get(tier, (None,))[0]
         if tier not in CODECS or codec not in CODECS[tier]:
             raise StoreError(f"codec {codec} doesn't go with the {tier} tier")
@@ -141,7 +165,7 @@ class Store:
         self._write(coded, at / "codes")
         self._write(names, at / "names")
         (at / "state.json").write_text(json.dumps(state))
-        self.manifest["vectors"][tier] = {"codec": codec, "dims": d, "original": original, "n": coded.count(), "bytes": self._seal(at)}
+        self.manifest["vectors"][tier] = {"codec": codec, "dims": d, "original": original, "n": coded.count(), "ids": _same(names), "bytes": self._seal(at)}
         self._save()
         return self.manifest["vectors"][tier]
 
@@ -155,6 +179,7 @@ class Store:
 
         PQ and binary results are scored again by warm or else hot vectors, if there are any of the same rows and dimensions.
         """
+        self._open()
         if k < 1:
             raise StoreError("k must be at least 1")
         have = self.manifest["vectors"]
@@ -174,8 +199,8 @@ class Store:
         elif meta["codec"] is None:
             found = top_k(codes, asked, inner, k, False)
         else:
-            scorer = PQ(np.array(state["words"])).scorer if meta["codec"] == "pq" else _words_scorer
-            again = next((t for t in ("warm", "hot") if t in have and (have[t]["dims"], have[t]["n"]) == (meta["dims"], meta["n"])), None)
+            scorer = PQ(np.array(state["words"])).scorer if meta["codec"] == "pq" else Binary.words_scorer
+            again = next((t for t in ("warm", "hot") if t in have and all(have[t].get(x) == meta.get(x) for x in ("dims", "n", "ids"))), None)
             found = top_k(codes, asked, scorer, depth if again else k, False)
             if again:
                 other, state, _ = self._codes(again)
@@ -186,23 +211,31 @@ class Store:
         found = found.join(names.select(F.col("row").alias("_row"), "name"), F.col("id") == F.col("_row"))
         return found.select(F.col("query_id").alias("query"), "rank", F.col("name").alias("id"), "score")
 
+    def set_embedder(self, embed) -> None:
+        """``embed``: a text's vector, for searches by text."""
+        self._embed = embed
+
+    def search_cli(self, query: str, k: int = 10, tier: str | None = None) -> DataFrame:
+        """A search by a vector, if the query is one in JSON, else by a text."""
+        try:
+            vector = json.loads(query)
+        except json.JSONDecodeError:
+            vector = None
+        if isinstance(vector, list) and vector and all(isinstance(x, int | float) and not isinstance(x, bool) for x in vector):
+            return self.search(np.array(vector, float), k, tier)
+        if self._embed is None:
+            raise StoreError("a search by text needs an embedder")
+        return self.search(np.asarray(self._embed(query), float), k, tier)
+
     def verify(self) -> list[str]:
         """Files whose bytes aren't those that were written, or that are gone."""
         return [f for f, sha in sorted(self.manifest["checksums"].items()) if not (self.path / f).exists() or _sha256(self.path / f) != sha]
 
 
-def _words_scorer(q: np.ndarray):
-    """Minus the number of bits that differ, over 63-bit sign words."""
-    bits = (q > 0).astype(np.uint64)
-    own = np.stack([(bits[:, i : i + 63] << np.arange(len(bits[0, i : i + 63]), dtype=np.uint64)).sum(axis=1, dtype=np.uint64) for i in range(0, q.shape[1], 63)], axis=1)
-
-    def score(b) -> np.ndarray:
-        from tierloom.operators.search import matrix
-
-        words = matrix(b.column(b.schema.get_field_index("code")), np.int64).view(np.uint64)
-        return -np.array([np.bitwise_count(words ^ o).sum(axis=1, dtype=np.int64) for o in own], np.float64).reshape(len(own), -1)
-
-    return score
+def _same(names: DataFrame) -> str:
+    """A digest of which row has which id: the same for two tiers only if their rows are the same, in the same order."""
+    row = names.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row", "name")).alias("x"), F.sum(F.pmod(F.xxhash64("name", "row"), F.lit(1 << 40))).alias("s")).first()
+    return f"{row['n']}:{row['x']}:{row['s']}"
 
 
 def _decoded(codes: DataFrame, values) -> DataFrame:
