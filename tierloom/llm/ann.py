@@ -38,12 +38,19 @@ class Codebooks:
             own = ((centre**2).sum(axis=1) - 2 * rest @ centre.T).argmin(axis=1)
             self.books[m], rest = centre, rest - centre[own]
         for _ in range(rounds):
-            codes = self.encode(x)[0].astype(np.int64) + words * np.arange(books)
-            one = np.zeros((len(x), books * words), np.float32)
-            np.put_along_axis(one, codes, 1, axis=1)
-            gram = one.T @ one + 0.1 * np.eye(books * words, dtype=np.float32)
-            base = self.books.reshape(-1, x.shape[1])  # words that no code uses stay where they are
-            self.books = (base + np.linalg.solve(gram, one.T @ (x - one @ base))).astype(np.float32).reshape(self.books.shape)
+            codes = np.concatenate([self.encode(x[at : at + 256])[0] for at in range(0, len(x), 256)]).astype(np.int64)
+            rest = x - sum(self.books[m][codes[:, m]] for m in range(books))
+            # the normal equations, from how often two words are used together; words that no code uses stay where they are
+            gram = np.zeros((books * words, books * words), np.float32)
+            right = np.zeros((books * words, x.shape[1]), np.float32)
+            for m in range(books):
+                own = slice(m * words, (m + 1) * words)
+                right[own] = np.stack([np.bincount(codes[:, m], rest[:, j], words) for j in range(x.shape[1])], axis=1)
+                for o in range(books):
+                    gram[own, o * words : (o + 1) * words] = np.bincount(codes[:, m] * words + codes[:, o], minlength=words * words).reshape(words, words)
+            gram[np.diag_indices(len(gram))] += 0.1
+            self.books += np.linalg.solve(gram, right).reshape(self.books.shape)
+            del gram
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Codes [n, books] and squared norms of the sums. Keeps the ``beam`` partial sums nearest the vector, book by book."""

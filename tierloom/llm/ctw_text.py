@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierloom.llm import ctw
-from tierloom.llm.common import partitions, written
+from tierloom.llm.common import partitions, release, written
 from tierloom.llm.ctw import CUT, DEPTH, END, SENT, Top, _at_depth, _batch, _summed, _texts, log10_bytes, subtrees, tokens
 
 #: Bytes of text at least in a chunk, unless it is a task's last; a text is never cut.
@@ -121,7 +121,7 @@ def _gathered(rows: DataFrame, common: dict[bytes, tuple[bool, float]]) -> DataF
                 k, c = _added(k, c, more, np.zeros(len(more), np.uint32) if out_ else n.astype(np.uint32))
             sizes = np.fromiter((len(t) for t, _ in texts), np.int64, len(texts))
             data = b"".join(t for t, _ in texts)
-            return out([(chunk, -3, number, len(data), None, len(texts), None, None, pa.compress(data, codec="zstd", asbytes=True), packed(sizes))]), k, c
+            return out([(chunk, -3, number, len(data), None, len(texts), None, None, pa.Codec("zstd", compression_level=5).compress(data, asbytes=True), packed(sizes))]), k, c
 
         def closed(k: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
             order, sizes = _by_part(k)
@@ -216,6 +216,7 @@ def _key_scores(gathered: DataFrame) -> DataFrame:
                 yield _batch("at a b w", at.view(np.int64), a, b, log_w)
 
     got = blobs.mapInArrow(lambda x: roots(x), "at bigint, a double, b double, w double").groupBy("at").agg(*(F.sum(c).alias(c) for c in "abw")).toArrow()
+    release(gathered.sparkSession)
     top = Top(got["at"].to_numpy().view(np.uint64), *(got[c].to_numpy() for c in "abw"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,6 +283,7 @@ def scored(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out.alias("held_out"), "text")
     words = ctw.word_counts(rows, []).select(F.expr("substring(word, 2)").alias("word"), F.col("c").alias("all"))
     words = written(words, "words")
+    release(docs.sparkSession)
     n, v = words.agg(F.coalesce(F.sum("all"), F.lit(0)), F.count_if(F.col("all") > 0)).first()
     words = words.select("word", (F.col("all") > 0).alias("known"), F.log10((F.col("all") + 1) / F.lit(float(n + v + 1))).alias("b"), F.floor(F.log2(F.greatest("all", F.lit(1))) * 16).alias("class"))
     held, least = 0, None
