@@ -16,10 +16,10 @@ import html
 import json
 import re
 import zlib
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +31,8 @@ from tierloom.llm.url_filter import host_of
 
 #: Levels of nesting that a wrapper tells apart; what is nested deeper belongs to the last of them. No text is left out.
 DEEP = 150
-#: Cells of an alignment's table at most; longer rows of children are aligned by each one's next match.
+#: Cells of an alignment's table at most; for longer rows of children its rows are bits, some of them kept. The alignment is the same.
 CELLS = 1 << 24
-#: Different texts at most that a repeated group of a template has; a group with more is a slot.
-GROUP = 64
 #: Bytes of templates that are broadcast at most.
 SENT = 64 << 20
 _TOKEN = re.compile(
@@ -61,6 +59,8 @@ WORDS = frozenset(
 #: Those of them that say so, also as a part of a name, however much text there is.
 REPLIES = frozenset("comment comments disqus respond reply replies".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Elements whose text, in an article, is the article's even if all pages have it.
+PROSE = _HEADINGS | {"p", "blockquote", "pre"}
 
 
 @lru_cache(65536)
@@ -125,7 +125,7 @@ def walk(page: str) -> Iterator[tuple[str, object]]:
 
 
 # A wrapper's node is [label, optional, repeated, pages, children]; that of a text has the label "#" and, for children, the digests of its texts (several in a
-# repeated group), or None for a slot, and then its characters.
+# repeated group), or None for a slot.
 
 
 def _digest(text: str) -> str:
@@ -150,8 +150,16 @@ def shape(page: str) -> list:
             if x > below:
                 del stack[below - x :]
         elif kind == "text" and not x.isspace():
-            stack[-1][4].append(["#", False, False, 1, [_digest(x)], len(x)])
-    return _folded(root)
+            stack[-1][4].append(["#", False, False, 1, {_digest(x)}])
+    root = _folded(root)
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node[0] == "#":
+            node[4] = sorted(node[4])
+        else:
+            stack += node[4]
+    return root
 
 
 def _folded(node: list) -> list:
@@ -179,10 +187,12 @@ def _merged(a: list, b: list, more: int = 1) -> list:
     """Two nodes of one label as one; ``more``: 1 if they come from different pages, whose numbers add up."""
     pages = a[3] + b[3] if more else max(a[3], b[3])
     if a[0] == "#":
-        texts = a[4] if a[4] == b[4] else None
-        if not more and a[4] and b[4]:  # of one page: the texts of the group, which another page may have as well
-            texts = sorted({*a[4], *b[4]})
-        return ["#", a[1] or b[1], a[2] or b[2], pages, texts if texts and len(texts) <= GROUP else None, a[5] + b[5]]
+        if more:
+            texts = a[4] if a[4] == b[4] else None
+        else:  # of one page: the texts of the group, which another page may have as well; the larger set takes the other in
+            few, texts = sorted((a[4], b[4]), key=len)
+            texts |= few
+        return ["#", a[1] or b[1], a[2] or b[2], pages, texts]
     return [a[0], a[1] or b[1], a[2] or b[2], pages, _aligned(a[4], b[4], more)]
 
 
@@ -207,23 +217,14 @@ def _aligned(a: list, b: list, more: int) -> list:
 
 
 def _pairs(x: list[str], y: list[str]) -> list[tuple[int, int]]:
-    """The places of a longest common subsequence of two rows of labels; of a common one, if the table would be too large."""
+    """The places of a longest common subsequence of two rows of labels."""
     number: dict[str, int] = {}
     a, b = (np.array([number.setdefault(k, len(number)) for k in row], np.int64) for row in (x, y))
     out, j = [], 0
     if not len(a) or not len(b):
         return out
     if len(a) * len(b) > CELLS:
-        places: dict[int, list[int]] = {}
-        for i, k in enumerate(b.tolist()):
-            places.setdefault(k, []).append(i)
-        for i, k in enumerate(a.tolist()):
-            own = places.get(k, [])
-            at = bisect_left(own, j)
-            if at < len(own):
-                out.append((i, own[at]))
-                j = own[at] + 1
-        return out
+        return _pairs_by_bits(a, b)
     best = np.zeros((len(a) + 1, len(b) + 1), np.int32)  # of what is left of both
     for i in range(len(a) - 1, -1, -1):
         row = np.maximum(best[i + 1, :-1], np.where(b == a[i], best[i + 1, 1:] + 1, 0))
@@ -240,6 +241,48 @@ def _pairs(x: list[str], y: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def _pairs_by_bits(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """The same pairs in less room: a row of the table is one number, whose bits say where the length grows; every so many rows are kept, the others made again."""
+    n, step = len(b), isqrt(len(a)) + 1
+    full = (1 << n) - 1
+
+    @lru_cache(1024)
+    def places(label: int) -> int:
+        return int.from_bytes(np.packbits(b[::-1] == label, bitorder="little").tobytes(), "little")
+
+    def before(row: int, i: int) -> int:
+        both = row & places(int(a[i]))
+        return (row + both | row - both) & full
+
+    kept, row = {len(a): full}, full
+    for i in range(len(a) - 1, -1, -1):
+        row = before(row, i)
+        if i % step == 0:
+            kept[i] = row
+    rows: dict[int, int] = {}
+
+    def length(i: int, j: int) -> int:
+        """Of the longest common subsequence of what is left of both."""
+        left = n - j
+        return left - (rows[i] & (1 << left) - 1).bit_count()
+
+    out, i, j = [], 0, 0
+    while i < len(a) and j < n:
+        if i not in rows or i + 1 not in rows:
+            end = min(len(a), i - i % step + step)
+            rows = {end: kept[end]}
+            for k in range(end - 1, i - 1, -1):
+                rows[k] = before(rows[k + 1], k)
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif length(i + 1, j) == length(i, j):
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def expression(node: list) -> str:
     """The wrapper as a regular expression without unions: ( ... )+ is repeated, ( ... )? optional, #TEXT a slot."""
     if node[0] == "#":
@@ -251,28 +294,29 @@ def expression(node: list) -> str:
 
 
 def template(root: list) -> list[str]:
-    """Places and digests of the template's own texts, those that all pages have; none, if the slots hold less text than these.
+    """Places and digests of the template's own texts: those that all pages have, if there is anything that not all have.
 
-    So pages that are copies of each other, but for a few words, don't make their texts a template. Where pages have an article
-    or main element, the two are compared inside those.
+    How much text there is, or how many pages, decides nothing. Inside article or main elements and outside of them is judged
+    by itself, so that pages that have the same article with other menus around it keep it. What an article has in headings
+    and paragraphs is its own, even on all pages: pages may be copies of each other but for a date.
     """
     found: list[tuple[str, bool]] = []
-    sizes = {(inside, free): 0 for inside in (False, True) for free in (False, True)}
+    vary = set()  # whether what differs is inside
 
-    def look(node: list, path: str, always: bool, inside: bool) -> None:
+    def look(node: list, path: str, always: bool, inside: bool, prose: bool) -> None:
         for k in node[4]:
             on_all = always and not k[1] and k[3] == root[3]
             if k[0] != "#":
-                look(k, path + "/" + k[0], on_all, inside or k[0].split(".")[0] in ("article", "main"))
-            elif k[4] is None or k[1]:
-                sizes[inside, True] += k[5]
-            elif on_all:
+                tag = k[0].split(".")[0]
+                within = inside or tag in ("article", "main")
+                look(k, path + "/" + k[0], on_all, within, within and (prose or tag in PROSE))
+            elif not on_all or k[4] is None:
+                vary.add(inside)
+            elif not prose:
                 found.extend((path + " " + d, inside) for d in k[4])
-                sizes[inside, False] += k[5]
 
-    look(root, "", root[3] > 1, False)
-    has = any(sizes[True, free] for free in (False, True))
-    return [place for place, inside in found if inside == has and sizes[has, True] > sizes[has, False]]
+    look(root, "", root[3] > 1, False, False)
+    return [place for place, inside in found if inside in vary]
 
 
 def _large(steps: list[tuple[str, object]]) -> set[int]:
