@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import gc
 
-from tierloom.operators.tables import HEAVY, components, fresh, join_groups, partitions, ranked, table, written
+from tierloom.operators.tables import HEAVY, components, done, fresh, join_groups, partitions, ranked, table, written
 
-__all__ = ["HEAVY", "SPACE", "WORD", "components", "fresh", "join_groups", "partitions", "ranked", "release", "table", "written"]
+__all__ = ["HEAVY", "SPACE", "WORD", "components", "done", "fresh", "join_groups", "partitions", "ranked", "release", "table", "written"]
 
 
 def release(spark) -> None:

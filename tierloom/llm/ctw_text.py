@@ -6,10 +6,13 @@ before it, across words, with end marks before the text's first byte; the trees
 Texts are cut into chunks of about CHUNK bytes, each with the distinct (context, byte) keys of its texts and their training
 counts. Keys move compressed, by PARTS parts of the contexts' two nearest bytes, so that a part has whole subtrees; what comes
 back to a chunk is one number a key, in the order of the chunk's own keys. A text's score is the sum over its positions.
+
+Texts, keys and rare words are written apart, and each is deleted, as are the shuffles, when what was made of it is written.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierloom.llm import ctw
-from tierloom.llm.common import partitions, release, written
+from tierloom.llm.common import done, partitions, release, written
 from tierloom.llm.ctw import CUT, DEPTH, END, SENT, Top, _at_depth, _batch, _summed, _texts, log10_bytes, subtrees, tokens
 
 #: Bytes of text at least in a chunk, unless it is a task's last; a text is never cut.
@@ -29,15 +32,25 @@ CHUNK = 20_000_000
 #: Bytes of text at least whose keys are sorted at once.
 SLICE = 3_000_000
 PARTS = 1024
+#: Texts that are scored at once.
+TEXTS = 256
 #: Keys at most whose subtrees are built at once, if they have more than one root.
 PIECE = 300_000
 _PART = (np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(8) & np.uint64(PARTS - 1)).astype(np.uint16)
 _KIND = "chunk bigint, part int, uid bigint, doc_id bigint, held_out boolean, n bigint, known bigint, base double, data binary, counts binary"
 
 
+def give_back() -> None:
+    """Arrays of a megabyte or more go back to the system as they are freed, instead of staying with the worker (glibc)."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def running(words: list[bytes]) -> bytes:
     """The text that is scored, of its tokens, the last of which is the end mark."""
-    return b"".join(w + b" " for w in words[:-1]) + END
+    return b" ".join(words)
 
 
 def keys_of(texts: list[bytes]) -> np.ndarray:
@@ -45,10 +58,12 @@ def keys_of(texts: list[bytes]) -> np.ndarray:
     if not texts:
         return np.zeros(0, np.uint64)
     pad = END * DEPTH
-    data = np.frombuffer(pad + pad.join(texts), np.uint8).astype(np.uint64)
-    key = data[DEPTH:].copy()
-    for j in range(1, DEPTH + 1):
-        key |= data[DEPTH - j : len(data) - j] << np.uint64(8 * (DEPTH + 1 - j))
+    data = pad + pad.join(texts)
+    key = np.ndarray(len(data) - DEPTH, "<u8", data, strides=(1,)).astype(np.uint64)  # the byte and those before it, the byte on top
+    byte = key >> np.uint64(8 * DEPTH)
+    key <<= np.uint64(8)
+    key |= byte
+    del byte
     own = np.ones(len(key), bool)
     ends = np.cumsum([len(t) + DEPTH for t in texts])[:-1]
     for j in range(1, DEPTH + 1):
@@ -62,6 +77,15 @@ def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.diff(np.append(first, len(key)))
 
 
+def _united(*keys: np.ndarray) -> np.ndarray:
+    """The distinct keys of all, sorted; holds little besides."""
+    key = np.concatenate(keys)
+    key.sort()
+    first = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=first[1:])
+    return key[first]
+
+
 def _added(key: np.ndarray, n: np.ndarray, more: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted, distinct keys and their numbers, with others put in between; holds little besides the result. ``n`` is changed."""
     at = np.searchsorted(key, more)
@@ -70,6 +94,60 @@ def _added(key: np.ndarray, n: np.ndarray, more: np.ndarray, times: np.ndarray)
     return np.insert(key, at[new], more[new]), np.insert(n, at[new], times[new])
 
 
+class Units:
+    """The numbers of known keys, for texts that have only these: a table in which keys of one place are left to the next, smaller table."""
+
+    def __init__(self, key: np.ndarray, units: np.ndarray):
+        """``key``: sorted and distinct; ``units``: whole numbers below 2**32 - 1."""
+        self.tables: list[tuple[np.uint64, np.uint64, np.ndarray]] = []
+        rng = np.random.default_rng(0)
+        while len(key) > 256 and len(self.tables) < 64:
+            factor, bits = np.uint64(rng.integers(1 << 63, 1 << 64, dtype=np.uint64) | np.uint64(1)), len(key).bit_length() + 1
+            shift = np.uint64(64 - bits)
+            table, left = np.empty(1 << bits, np.uint32), np.zeros(len(key), bool)
+            some = [slice(i, min(len(key), i + self._BLOCK)) for i in range(0, len(key), self._BLOCK)]
+            for s in some:
+                table[self._places(key[s], factor, shift)] = np.arange(s.start, s.stop, dtype=np.uint32)
+            for s in some:
+                left[s] = table[self._places(key[s], factor, shift)] != np.arange(s.start, s.stop, dtype=np.uint32)
+            for s in some:
+                table[self._places(key[s], factor, shift)] = units[s]
+            more = np.flatnonzero(left)
+            for i in range(0, len(more), self._BLOCK):
+                table[self._places(key[more[i : i + self._BLOCK]], factor, shift)] = self._NONE
+            for s in some:
+                left[s] = table[self._places(key[s], factor, shift)] == self._NONE
+            self.tables.append((factor, shift, table))
+            key, units = key[left], units[left]
+        self.key, self.units = key, units
+
+    _NONE = np.uint32((1 << 32) - 1)
+    #: Keys whose places are held at once.
+    _BLOCK = 1 << 18
+
+    @staticmethod
+    def _places(key: np.ndarray, factor: np.uint64, shift: np.uint64) -> np.ndarray:
+        at = key * factor
+        at >>= shift
+        return at.view(np.int64)
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        out = np.empty(len(key), np.uint32)
+        left = None
+        for factor, shift, table in self.tables:
+            found = table[self._places(key, factor, shift)]
+            if left is None:
+                out[:] = found
+            else:
+                out[left] = found
+            more = np.flatnonzero(found == self._NONE)
+            left = more if left is None else left[more]
+            key = key[more]
+        if len(key):
+            out[slice(None) if left is None else left] = self.units[np.searchsorted(self.key, key)]
+        return out
+
+
 def packed(x: np.ndarray) -> bytes:
     """Numbers, compressed by planes of their bytes."""
     return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), codec="zstd", asbytes=True)
@@ -90,24 +168,25 @@ def _units(lp: np.ndarray) -> bytes:
     return packed(np.rint(lp * -float(1 << UNIT)).astype(np.uint32))
 
 
-def _logs(data: bytes, n: int) -> np.ndarray:
-    return unpacked(data, n, np.uint32) * -(1.0 / (1 << UNIT))
-
-
 def _keys(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(unpacked(data, n, np.uint64), dtype=np.uint64)
 
 
-def _by_part(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of sorted keys by part, and each part's number of keys."""
-    part = _PART[(key >> np.uint64(48)).astype(np.int64)]
-    return np.argsort(part, kind="stable"), np.bincount(part, minlength=PARTS)
+def _by_part(key: np.ndarray) -> Iterator[tuple[int, list[slice]]]:
+    """Each part that sorted keys have, and where its keys are, in order."""
+    ends = np.searchsorted(key, np.arange(1, 1 << 16, dtype=np.uint64) << np.uint64(48)).tolist() + [len(key)]
+    runs: list[list[slice]] = [[] for _ in range(PARTS)]
+    for part, at, end in zip(_PART.tolist(), [0, *ends], ends, strict=False):
+        if at < end:
+            runs[part].append(slice(at, end))
+    return ((p, own) for p, own in enumerate(runs) if own)
 
 
 def _gathered(rows: DataFrame, common: dict[bytes, tuple[bool, float]]) -> DataFrame:
     """Per chunk: its slices' texts (part -3), words that ``common`` doesn't have (-2), what is known of the texts (-1), and its keys by part. rows: uid, doc_id, held_out, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         chunk = TaskContext.get().partitionId() << 33
         fields = [f.split()[0] for f in _KIND.split(", ")]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary()]
@@ -116,22 +195,18 @@ def _gathered(rows: DataFrame, common: dict[bytes, tuple[bool, float]]) -> DataF
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_, strict=True), kinds, strict=True)], fields)
 
         def sliced(texts: list[tuple[bytes, bool]], number: int, k: np.ndarray, c: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
-            for out_ in (False, True):
-                more, n = _distinct(keys_of([t for t, o in texts if o == out_]))
-                k, c = _added(k, c, more, np.zeros(len(more), np.uint32) if out_ else n.astype(np.uint32))
+            more, n = _distinct(keys_of([t for t, o in texts if not o]))
+            held, _ = _distinct(keys_of([t for t, o in texts if o]))
+            k, c = _added(k, c, *_added(more, n.astype(np.uint32), held, np.zeros(len(held), np.uint32)))
             sizes = np.fromiter((len(t) for t, _ in texts), np.int64, len(texts))
             data = b"".join(t for t, _ in texts)
             return out([(chunk, -3, number, len(data), None, len(texts), None, None, pa.Codec("zstd", compression_level=5).compress(data, asbytes=True), packed(sizes))]), k, c
 
         def closed(k: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-            order, sizes = _by_part(k)
-            k, c = k[order], c[order]
-            ends = np.cumsum(sizes)
-            rows_ = [
-                (chunk, p, None, None, None, int(n), None, None, packed(np.diff(k[e - n : e], prepend=np.uint64(0))), packed(c[e - n : e]))
-                for p, (n, e) in enumerate(zip(sizes, ends, strict=True))
-                if n
-            ]
+            rows_ = []
+            for p, own in _by_part(k):
+                key, n = (np.concatenate([x[s] for s in own]) for x in (k, c))
+                rows_.append((chunk, p, None, None, None, len(key), None, None, packed(np.diff(key, prepend=np.uint64(0))), packed(n)))
             yield out(rows_)
 
         none = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
@@ -205,10 +280,11 @@ def _pieces(key: np.ndarray) -> Iterator[slice]:
 
 def _key_scores(gathered: DataFrame) -> DataFrame:
     """chunk, part and data: log10 of the probability of each of the chunk's keys of the part, in their order."""
-    blobs = gathered.filter("part >= 0").select("part", "chunk", "n", "data", "counts")
+    blobs = gathered.filter("kind = 0").select("part", "chunk", "n", "data", "counts")
     blobs = blobs.repartition(partitions(gathered.sparkSession), "part").sortWithinPartitions("part", "chunk")
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for _, _, _, key, n in _parts(batches):
             for s in _pieces(key):
                 node, a, b, log_w, _ = subtrees(key[s], n[s])[CUT]
@@ -220,6 +296,7 @@ def _key_scores(gathered: DataFrame) -> DataFrame:
     top = Top(got["at"].to_numpy().view(np.uint64), *(got[c].to_numpy() for c in "abw"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for part, chunks, keys, key, n in _parts(batches):
             lp = np.concatenate([log10_bytes(key[s], n[s], top) for s in _pieces(key)])
             data = [_units(lp[np.searchsorted(key, k)]) for k in keys]
@@ -228,45 +305,46 @@ def _key_scores(gathered: DataFrame) -> DataFrame:
     return blobs.mapInArrow(score, "chunk bigint, part int, data binary")
 
 
-def _text_scores(gathered: DataFrame) -> DataFrame:
-    """The texts' rows, with lp, the sum over their bytes, and size, their number."""
-    texts = gathered.filter("part in (-3, -1)")
-    both = texts.unionByName(_key_scores(gathered), allowMissingColumns=True)
-    both = both.repartition(partitions(gathered.sparkSession), "chunk").sortWithinPartitions("chunk", "part", "uid")
+def _text_scores(texts: DataFrame, scores: DataFrame) -> DataFrame:
+    """The texts' rows, with lp, the sum over their bytes, and size, their number. scores: of ``_key_scores``."""
+    both = texts.unionByName(scores, allowMissingColumns=True)
+    both = both.repartition(partitions(texts.sparkSession), "chunk").sortWithinPartitions("chunk", "part", "uid")
     fields = ("chunk", "part", "uid", "doc_id", "held_out", "n", "known", "base", "data", "counts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for _, own in groupby(_rows(batches, *fields), lambda r: r[0]):
-            slices, about, scores = [], [], []
+            slices, keys, about, units = [], [], [], []
             for r in own:
                 if r[1] == -3:
                     sizes = unpacked(r[9], r[5], np.int64)
                     data, ends = pa.decompress(r[8], decompressed_size=r[3], codec="zstd", asbytes=True), np.cumsum(sizes)
-                    key = keys_of([data[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)])
-                    at = np.argsort(key)
-                    key = key[at]
-                    first = np.concatenate(([True], key[1:] != key[:-1]))
-                    which = np.empty(len(key), np.int32)
-                    which[at] = np.cumsum(first, dtype=np.int32) - 1
-                    slices.append((key[first], which, sizes))
-                    del data, key, at, first
+                    own_texts = [data[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                    for i in range(0, len(sizes), TEXTS):
+                        slices.append((own_texts[i : i + TEXTS], sizes[i : i + TEXTS]))
+                    keys.append(_united(keys_of(own_texts)))
+                    if len(keys) == 4:  # most are the same
+                        keys = [_united(*keys)]
+                    del data, own_texts
                 elif r[1] == -1:
                     about.append(r[2:8])
                 else:
-                    scores.append(r[8])
-            key = slices[0][0]
-            for more, _, _ in slices[1:]:
-                at = np.searchsorted(key, more)
-                new = key[np.minimum(at, len(key) - 1)] != more
-                key = np.insert(key, at[new], more[new])
-            order, parts = _by_part(key)
-            lp = np.empty(len(order))
-            lp[order] = np.concatenate([_logs(s, n) for s, n in zip(scores, parts[parts > 0], strict=True)])
-            scores.clear()
-            sums = np.concatenate([np.add.reduceat(lp[np.searchsorted(key, k)][which], np.cumsum(sizes) - sizes) for k, which, sizes in slices])
-            size = np.concatenate([sizes for _, _, sizes in slices])
+                    units.append(r[8])
+            key = _united(*keys)
+            keys.clear()
+            all_ = np.empty(len(key), np.uint32)
+            for data, (_, own_keys) in zip(units, _by_part(key), strict=True):
+                part, at = unpacked(data, sum(s.stop - s.start for s in own_keys), np.uint32), 0
+                for s in own_keys:
+                    all_[s] = part[at : at + s.stop - s.start]
+                    at += s.stop - s.start
+            units.clear()
+            known = Units(key, all_)
+            del key, all_
+            sums = np.concatenate([np.add.reduceat(known.of(keys_of(t)), np.cumsum(sizes) - sizes, dtype=np.int64) for t, sizes in slices])
+            size = np.concatenate([sizes for _, sizes in slices])
             cols = [pa.array(c, t) for c, t in zip(zip(*about, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()), strict=True)]
-            yield _batch("uid doc_id held_out n known base lp size", *cols, sums, size)
+            yield _batch("uid doc_id held_out n known base lp size", *cols, sums * -(1.0 / (1 << UNIT)), size)
 
     return both.mapInArrow(run, "uid bigint, doc_id bigint, held_out boolean, n bigint, known bigint, base double, lp double, size bigint")
 
@@ -282,7 +360,7 @@ def scored(docs: DataFrame) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out.alias("held_out"), "text")
     words = ctw.word_counts(rows, []).select(F.expr("substring(word, 2)").alias("word"), F.col("c").alias("all"))
-    words = written(words, "words")
+    words = words_at = written(words, "words")
     release(docs.sparkSession)
     n, v = words.agg(F.coalesce(F.sum("all"), F.lit(0)), F.count_if(F.col("all") > 0)).first()
     words = words.select("word", (F.col("all") > 0).alias("known"), F.log10((F.col("all") + 1) / F.lit(float(n + v + 1))).alias("b"), F.floor(F.log2(F.greatest("all", F.lit(1))) * 16).alias("class"))
@@ -296,11 +374,19 @@ def scored(docs: DataFrame) -> DataFrame:
     got = words.filter(often).select("word", "known", "b").toArrow()
     common = dict(zip(got["word"].to_pylist(), zip(got["known"].to_pylist(), got["b"].to_pylist(), strict=True), strict=True))
 
-    gathered = written(_gathered(rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text"), common), "gathered")
-    rest = gathered.filter("part = -2").select("uid", F.col("data").alias("word"), F.col("n").alias("k"))
+    gathered = _gathered(rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text"), common)
+    gathered = written(gathered.withColumn("kind", F.expr("CASE WHEN part >= 0 THEN 0 WHEN part = -2 THEN 1 ELSE 2 END")), "gathered", "kind")  # keys, words, texts
+    rest = gathered.filter("kind = 1").select("uid", F.col("data").alias("word"), F.col("n").alias("k"))
     rest = rest.join(words.filter(~often), "word").groupBy("uid").agg(F.sum(F.when(F.col("known"), F.col("k")).otherwise(0)).alias("more"), F.sum(F.col("k") * F.col("b")).alias("b"))
+    rest = written(rest, "rest")
+    done(words_at)
+    done(gathered, "kind=1")
+    release(docs.sparkSession)
+    scores = written(_key_scores(gathered), "scores")
+    done(gathered, "kind=0")
+    release(docs.sparkSession)
     zero = F.lit(0)
-    return _text_scores(gathered).join(rest, "uid", "left").select(
+    return _text_scores(gathered.filter("kind = 2").drop("kind"), scores).join(rest, "uid", "left").select(
         "doc_id",
         "held_out",
         F.col("n").alias("n_tokens"),
