@@ -33,6 +33,26 @@ def test_words_that_are_not_cached_are_folded_in_place(spark, monkeypatch):
     assert all(r.ids == LIBRARY.encode_ordinary(r.text) for r in got)
 
 
+def test_documents_go_to_one_python_worker_a_task_without_their_texts(spark):
+    docs = documents(spark).select("doc_id", "text")
+    plan = bpe.Tokenizer(spark).digests(docs, ids=True)._jdf.queryExecution().optimizedPlan()
+    assert str(plan.nodeName()) == "MapInArrow" and not str(plan.child().toString()).count("MapInArrow")
+    assert [a.name() for a in (plan.child().output().apply(i) for i in range(plan.child().output().size()))] == ["c0", "words", "rare", "folded"]
+
+
+@pytest.mark.parametrize("filled", [1, 300])
+def test_ids_are_whole_however_few_are_held_at_once(spark, monkeypatch, filled):
+    """Nor do they depend on a filter that takes a rare word for a common one."""
+    monkeypatch.setattr(bpe, "FILLED", filled)
+    monkeypatch.setattr(bpe, "CACHED", 50)
+    monkeypatch.setattr(bpe, "member", lambda hashes, n: lambda w: F.pmod(F.xxhash64(w), F.lit(2)) == 0)
+    docs = documents(spark).limit(40).select("doc_id", "text").unionByName(hard(spark).select("doc_id", "text").filter("doc_id not in (7, 8, 11) or doc_id is null"))
+    got = bpe.Tokenizer(spark).encode(docs).collect()
+    assert len(got) == docs.count() and all(r.ids == LIBRARY.encode_ordinary(r.text or "") for r in got)
+    only = bpe.Tokenizer(spark).digests(docs.select("text"))
+    assert sorted(r.n_tokens for r in only.collect()) == sorted(len(r.ids) for r in got)
+
+
 def test_long_words_merge_as_the_library_merges_them(spark):
     words = ["ab" * 2500, "x" * 300, "".join(chr(97 + i * i % 23) for i in range(1_000_000)), "é" * 3000, "z" * 256, "q" * 257]
     docs = spark.createDataFrame([(i, f"one {w} two {w[:50]}") for i, w in enumerate(words)], "doc_id bigint, text string")

@@ -36,6 +36,8 @@ LONG = 256
 NONE = 1 << 16
 #: Words that are looked up at once.
 AT_ONCE = 1 << 20
+#: Words whose ids a task holds at once, or those of one document.
+FILLED = 1 << 17
 #: Letters and numbers that Unicode has had since Java 17's version of it, up to the tokenizer library's.
 LETTERS = (
     "870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 1C89-1C8A 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7CB-A7CD A7D0-A7D1 A7D3 A7D5-A7DC A7F2-A7F4 10570-1057A 1057C-1058A 1058C-10592 "
@@ -99,6 +101,17 @@ def literals(spark: SparkSession, **arrays: pa.Array) -> dict[str, Column]:
     return out
 
 
+def member(hashes: DataFrame, n: int) -> Callable[[Column], Column]:
+    """A Bloom filter of the ``n`` values of ``xxhash64`` as a literal: true for a column's value if its hash is among them, and for one in a hundred others."""
+    if not n:
+        return lambda _: F.lit(False)
+    jvm = hashes.sparkSession.sparkContext._jvm
+    made = hashes._jdf.stat().bloomFilter("hash", n, 0.01)
+    made.writeTo(out := jvm.java.io.ByteArrayOutputStream())
+    bits, util, catalyst = F.lit(bytes(out.toByteArray())), jvm.org.apache.spark.sql.classic.ExpressionUtils, jvm.org.apache.spark.sql.catalyst.expressions
+    return lambda x: Column(util.column(catalyst.BloomFilterMightContain(util.expression(bits._jc), util.expression(F.xxhash64(x)._jc))))
+
+
 class Merges:
     """The literal rank map: the rank of the merge of two ids, or at least NONE."""
 
@@ -223,51 +236,36 @@ def sliced(batch: pa.RecordBatch, ends: np.ndarray, at_once: int) -> Iterator[pa
         lo = hi
 
 
-def _code_ends(codes: pa.Array) -> np.ndarray:
-    return np.frombuffer(codes.buffers()[1], np.int32)[codes.offset : codes.offset + len(codes) + 1].astype(np.int64) >> 2
-
-
-def _looked_up(words: pa.Array) -> Callable:
-    """Replaces the last column, a document's words, by two: the words' numbers (32 bits) in ``words``, or -1 - j for the document's j-th other word; and those others, each once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (s for whole in batches for s in sliced(whole, whole.column(whole.num_columns - 1).offsets.to_numpy(), AT_ONCE)):
-            starts, flat = _lists(b.column(b.num_columns - 1))
-            at = pc.index_in(flat, value_set=words)
-            unknown = at.is_null().to_numpy(zero_copy_only=False)
-            code = at.fill_null(0).to_numpy().copy()
-            doc = np.repeat(np.arange(b.num_rows), np.diff(starts))[unknown]
-            rare = flat.filter(pa.array(unknown)).dictionary_encode()
-            pair, which = np.unique(doc << 32 | rare.indices.to_numpy().astype(np.int64), return_inverse=True)
-            first = np.searchsorted(pair, np.arange(b.num_rows + 1) << 32)
-            code[unknown] = -1 - (which - first[doc])
-            own = _nested(first, rare.dictionary.take(pa.array(pair & 0xFFFFFFFF)))
-            codes = pa.BinaryArray.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((starts * 4).astype(np.int32)), pa.py_buffer(code.astype(np.int32))])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], codes, own], [*b.schema.names[:-1], "codes", "rare"])
-
-    return run
-
-
-def _filled(batch: pa.RecordBatch, starts_of: np.ndarray, ids_of: np.ndarray, rank: Callable[[], dict[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Where each document's ids begin, and the end; and all ids. The last columns: codes, rare words, and their ids (null: a long word)."""
-    codes = batch.column(batch.num_columns - 3)
-    ends = _code_ends(codes)
-    code, starts = np.frombuffer(codes.buffers()[2] or b"", np.int32)[ends[0] : ends[-1]], ends - ends[0]
-    first, rare = _lists(batch.column(batch.num_columns - 2))
-    folded = batch.column(batch.num_columns - 1)
-    _, inner = _lists(folded)
-    if inner.null_count:
-        inner = pa.array([merge_long(w.encode(), rank()) if x is None else x for w, x in zip(rare.to_pylist(), inner.to_pylist(), strict=True)], inner.type)
-    own, own_ids = _lists(inner) if len(inner) else (np.zeros(1, np.int64), pa.array([], pa.int32()))
+def _filled(batch: pa.RecordBatch, words: pa.Array, starts_of: np.ndarray, ids_of: np.ndarray, rank: Callable[[], dict[bytes, int]]) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
+    """For some documents at a time: their other columns, where each one's ids begin, and the end; and all their ids.
+
+    The last columns: a document's words, its words that aren't common, and their ids (null: a long word). All words of
+    the batch are looked up at once, as each look-up hashes the common ones.
+    """
+    starts, flat = _lists(batch.column(batch.num_columns - 3))
+    at = pc.index_in(flat, value_set=words)
+    unknown = at.is_null()
+    code = at.fill_null(0).to_numpy().copy()
+    others = flat.filter(unknown).dictionary_encode()
+    _, rare = _lists(batch.column(batch.num_columns - 2))
+    _, folded = _lists(batch.column(batch.num_columns - 1))
+    own = folded.take(pc.index_in(others.dictionary, value_set=rare)) if len(rare) else pa.nulls(len(others.dictionary), folded.type)
+    if own.null_count:  # long words, and those that the filter took for common ones
+        own = pa.array([merge_long(w.encode(), rank()) if x is None else x for w, x in zip(others.dictionary.to_pylist(), own.to_pylist(), strict=True)], own.type)
+    own_starts, own_ids = _lists(own) if len(own) else (np.zeros(1, np.int64), pa.array([], pa.int32()))
+    code[unknown.to_numpy(zero_copy_only=False)] = len(words) + others.indices.to_numpy()
+    del at, unknown, flat, others
     every = np.concatenate((ids_of, own_ids.to_numpy()))
-    begins = np.concatenate((starts_of[:-1], len(ids_of) + own[:-1]))
-    sizes = np.concatenate((np.diff(starts_of), np.diff(own)))
-    doc = np.repeat(np.arange(batch.num_rows), np.diff(starts))
-    at = np.where(code >= 0, code, len(starts_of) - 1 + first[doc] - 1 - code)
-    size = sizes[at]
-    ends = np.concatenate(([0], np.cumsum(size)))
-    ids = every[np.repeat(begins[at] - ends[:-1], size) + np.arange(ends[-1])]
-    return ends[starts], ids
+    begins = np.concatenate((starts_of[:-1], len(ids_of) + own_starts[:-1]))
+    sizes = np.concatenate((np.diff(starts_of), np.diff(own_starts)))
+    lo = 0
+    for b in sliced(batch, starts, FILLED):
+        some = code[starts[lo] : starts[lo + b.num_rows]]
+        size = sizes[some]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        ids = every[np.repeat(begins[some] - ends[:-1], size) + np.arange(ends[-1])]
+        yield b.columns[:-3], ends[starts[lo : lo + b.num_rows + 1] - starts[lo]], ids
+        lo += b.num_rows
 
 
 class Tokenizer:
@@ -285,8 +283,8 @@ class Tokenizer:
             self._pieces = literals(self.spark, pieces=pa.array([t.hex().upper() for t in pieces]))["pieces"]
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self._pieces, i)), ""))
 
-    def _common(self, docs: DataFrame) -> tuple[pa.Array, pa.Array]:
-        """The commonest distinct words of all documents, at most CACHED, and their ids."""
+    def _common(self, docs: DataFrame) -> tuple[pa.Array, pa.Array, Callable[[Column], Column]]:
+        """The commonest distinct words of all documents, at most CACHED, their ids, and a filter that holds for them, and for one in a hundred others."""
         word = F.explode(words_of(F.col("text"), self.pattern)).alias("w")
         words = docs.select(word).groupBy("w").agg(F.count("*").alias("n"))
         words = written(words.filter((F.col("n") > 1) & (F.octet_length("w") <= LONG)).withColumn("class", F.floor(F.log2("n") * 16)), "words")
@@ -298,26 +296,31 @@ class Tokenizer:
             least = c["class"]
         some = words.filter(F.col("class") >= least) if least is not None else words.limit(0)
         got = some.select("w", _fold(F.col("w"), self.merges).alias("ids")).toArrow()
-        return tuple(pa.concat_arrays(got[c].chunks) if got[c].num_chunks else pa.array([], got.schema.field(c).type) for c in ("w", "ids"))
-
-    def _coded(self, docs: DataFrame, finish: Callable, schema: T.StructType) -> DataFrame:
-        """``finish`` gets batches of the columns of ``docs`` but the text, the documents' first ids, and all ids; the schema is that of what it returns."""
-        words, ids = self._common(docs)
-        (names := [f"c{i}" for i in range(len(docs.columns))]).append("words")
-        cut = docs.select(*docs.columns, F.coalesce(words_of(F.col("text"), self.pattern), F.array().cast("array<string>"))).toDF(*names)
-        kept = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields, strict=False)])
-        codes = T.StructType([*kept.fields, T.StructField("codes", T.BinaryType()), T.StructField("rare", T.ArrayType(T.StringType()))])
-        sent = self.spark.sparkContext.broadcast(words)
-        looked = cut.mapInArrow(lambda batches: _looked_up(sent.value)(batches), codes)
-        fold = F.transform("rare", lambda w: F.when(F.octet_length(w) <= LONG, _fold(w, self.merges)))
+        got = [pa.concat_arrays(got[c].chunks) if got[c].num_chunks else pa.array([], got.schema.field(c).type) for c in ("w", "ids")]
+        return *got, member(some.select(F.xxhash64("w").alias("hash")), len(got[0]))
+
+    def _coded(self, docs: DataFrame, keep: list[str], finish: Callable, schema: T.StructType) -> DataFrame:
+        """``finish`` gets batches of the columns to keep, the documents' first ids, and all ids; the schema is that of what it returns.
+
+        One Python worker a task: the words that aren't common are told by a filter in Spark and folded there, before
+        anything goes to Python. What isn't kept, as the text, doesn't go there.
+        """
+        words, ids, common = self._common(docs)
+        names = [f"c{i}" for i in range(len(keep))]
+        cut = docs.select(*keep, F.coalesce(words_of(F.col("text"), self.pattern), F.array().cast("array<string>"))).toDF(*names, "words")
+        rare = cut.withColumn("rare", F.filter(F.array_distinct("words"), lambda w: ~common(w)))
+        folded = rare.withColumn("folded", F.transform("rare", lambda w: F.when(F.octet_length(w) <= LONG, _fold(w, self.merges))))
         starts_of, ids_of = _lists(ids)
-        table, path = self.spark.sparkContext.broadcast((starts_of, ids_of.to_numpy().astype(np.int32))), self.path
+        sent, path = self.spark.sparkContext.broadcast((words, starts_of, ids_of.to_numpy().astype(np.int32))), self.path
 
         def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in (s for whole in batches for s in sliced(whole, _code_ends(whole.column(whole.num_columns - 3)), AT_ONCE)):
-                yield finish(b.columns[:-3], *_filled(b, *table.value, lambda: ranks(path)))
+            for b in batches:
+                for some in _filled(b, *sent.value, lambda: ranks(path)):
+                    yield finish(*some)
+                del b, some
+                pa.default_memory_pool().release_unused()
 
-        return looked.withColumn("folded", fold).mapInArrow(fill, schema)
+        return folded.mapInArrow(fill, schema)
 
     def encode(self, docs: DataFrame) -> DataFrame:
         """All columns of ``docs`` and ``ids``, array<int>: the ids of the whole text, as the tiktoken library's ``encode_ordinary``.
@@ -331,12 +334,11 @@ class Tokenizer:
         def finish(columns: list[pa.Array], starts: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([*columns, _nested(starts, pa.array(ids))], names)
 
-        return self._coded(docs, finish, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+        return self._coded(docs, docs.columns, finish, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
     def digests(self, docs: DataFrame, ids: bool = False) -> DataFrame:
         """All columns of ``docs`` but its text, n_tokens, ids_sha256 and decoded_sha256, and the ids themselves if they are asked for."""
         kept = [f for f in docs.schema.fields if f.name != "text"]
-        at = [i for i, f in enumerate(docs.schema.fields) if f.name != "text"]
         more = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
         more += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids
         schema, path = T.StructType([*kept, *more]), self.path
@@ -349,10 +351,10 @@ class Tokenizer:
             whole = pieces.take(pa.array(flat)).buffers()[2] if len(flat) else b""
             decoded, to = memoryview(whole) if whole else memoryview(b""), starts.tolist()
             sha = [[hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(cut, cut[1:], strict=False)] for data, cut in ((little, [4 * x for x in to]), (decoded, ends))]
-            cols = [*(columns[i] for i in at), pa.array(np.diff(starts)), *(pa.array(x, pa.string()) for x in sha)]
+            cols = [*columns, pa.array(np.diff(starts)), *(pa.array(x, pa.string()) for x in sha)]
             return pa.RecordBatch.from_arrays(cols + [_nested(starts, pa.array(flat))] * ids, names)
 
-        return self._coded(docs, finish, schema)
+        return self._coded(docs, [f.name for f in kept], finish, schema)
 
 
 @cache
