@@ -13,24 +13,27 @@ Texts, keys and rare words are written apart, and each is deleted, as are the sh
 from __future__ import annotations
 
 import ctypes
-from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierloom.llm import ctw
 from tierloom.llm.common import done, partitions, release, written
-from tierloom.llm.ctw import CUT, DEPTH, END, SENT, Top, _at_depth, _batch, _summed, _texts, log10_bytes, subtrees, tokens
+from tierloom.llm.ctw import CUT, DEPTH, END, SENT, Top, _at_depth, _batch, _summed, log10_bytes, subtrees
 
 #: Bytes of text at least in a chunk, unless it is a task's last; a text is never cut.
 CHUNK = 20_000_000
-#: Bytes of text at least whose keys are sorted at once.
+#: Bytes of text at least that are written in a row, unless they are a batch's last.
 SLICE = 3_000_000
+#: Bytes of text at least whose keys are sorted at once, unless they are a chunk's last.
+SORTED = 8_000_000
+#: Bytes of text at least whose words are counted at once, unless they are a batch's last.
+COUNTED = 16_000_000
 PARTS = 1024
 #: Texts that are scored at once.
 TEXTS = 256
@@ -41,9 +44,11 @@ _KIND = "chunk bigint, part int, uid bigint, doc_id bigint, held_out boolean, n
 
 
 def give_back() -> None:
-    """Arrays of a megabyte or more go back to the system as they are freed, instead of staying with the worker (glibc)."""
+    """Arrays of a megabyte or more, Arrow's too, go back to the system as they are freed, instead of staying with the worker (glibc); what a task before left free goes now."""
+    pa.set_memory_pool(pa.system_memory_pool())
     try:
         ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
         pass
 
@@ -71,10 +76,87 @@ def keys_of(texts: list[bytes]) -> np.ndarray:
     return key[own]
 
 
+def _lowered(column: pa.Array) -> pa.Array:
+    """Texts with A-Z lowered, "" for null. Not Arrow's ascii_lower, which takes wrong bytes of what was cast from a slice (as of 23.0.1)."""
+    texts = pc.fill_null(column.cast(pa.large_string()), "")
+    _, ends, data = texts.buffers()
+    if not len(texts) or data is None:
+        return texts
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes().lower()
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends - ends[0]), pa.py_buffer(data))
+
+
+def split(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts' words, as ``tokens`` has them but without the end marks, and the number of each word's text; for all texts at once."""
+    parts = pc.ascii_split_whitespace(_lowered(column))
+    words = pc.list_flatten(parts)
+    full = pc.greater(pc.binary_length(words), 0)  # not the nothing before a text's first space, or after its last
+    of = np.repeat(np.arange(len(column)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+    return words.filter(full).cast(pa.large_binary()), of[full.to_numpy(zero_copy_only=False)]
+
+
+def joined(words: pa.Array, of: np.ndarray, some: int) -> list[bytes]:
+    """Each of so many texts as it is scored."""
+    ends = np.cumsum(np.bincount(of, minlength=some), dtype=np.int32)
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.insert(ends, 0, 0)), words.cast(pa.binary())), b" ")
+    return [running([t, END]) if t else END for t in texts.to_pylist()]
+
+
+def numbered(words: pa.Array, of: np.ndarray, some: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct tokens, end marks too; the place in these of each token, and its text."""
+    both = pa.concat_arrays([words, pa.array([END] * some, pa.large_binary())]).dictionary_encode()
+    return both.dictionary, both.indices.to_numpy(zero_copy_only=False), np.concatenate((of, np.arange(some)))
+
+
+def pieces_of(batch: pa.RecordBatch, text: int, least: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces whose texts, in column ``text``, have at least so many bytes."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + least)) + 1
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def counted(held_out: np.ndarray, column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct tokens of texts, and how often those that aren't held out have each."""
+    words, at, of = numbered(*split(column), len(column))
+    return words, np.bincount(at[~held_out[of]], minlength=len(words))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word and all, its training tokens (0: only held-out texts have it). docs: held_out and text."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        for whole in batches:
+            for b in pieces_of(whole, 1, COUNTED):
+                words, times = counted(b.column(0).to_numpy(zero_copy_only=False), b.column(1))
+                yield _batch("word all", words.cast(pa.binary()), times)
+
+    return docs.select("held_out", "text").mapInArrow(count, "word binary, all bigint").groupBy("word").agg(F.sum("all").alias("all"))
+
+
+def _joined(keys: list[np.ndarray]) -> np.ndarray:
+    """All keys, sorted; the list is emptied meanwhile, so that they aren't held twice."""
+    out, end = np.empty(sum(map(len, keys)), np.uint64), 0
+    keys.reverse()
+    while keys:
+        k = keys.pop()
+        out[end : end + len(k)] = k
+        end += len(k)
+    out.sort()
+    return out
+
+
 def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key = np.sort(key)
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    return key[first], np.diff(np.append(first, len(key)))
+    """The distinct ones of sorted keys, and how many there are of each."""
+    first = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=first[1:])
+    some, kept = len(key), key[first]
+    del key
+    return kept, np.diff(np.flatnonzero(first), append=some).astype(np.uint32)
 
 
 def _united(*keys: np.ndarray) -> np.ndarray:
@@ -182,67 +264,66 @@ def _by_part(key: np.ndarray) -> Iterator[tuple[int, list[slice]]]:
     return ((p, own) for p, own in enumerate(runs) if own)
 
 
-def _gathered(rows: DataFrame, common: dict[bytes, tuple[bool, float]]) -> DataFrame:
-    """Per chunk: its slices' texts (part -3), words that ``common`` doesn't have (-2), what is known of the texts (-1), and its keys by part. rows: uid, doc_id, held_out, text."""
+def _gathered(rows: DataFrame, words: pa.Array, known: np.ndarray, base: np.ndarray) -> DataFrame:
+    """Per chunk: its slices' texts (part -3), words that ``words`` doesn't have (-2), what is known of the texts (-1), and its keys by part. rows: uid, doc_id, held_out, text."""
+    known, base = np.append(known, 0).astype(float), np.append(base, 0.0)  # the last: of words that aren't there
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         chunk = TaskContext.get().partitionId() << 33
-        fields = [f.split()[0] for f in _KIND.split(", ")]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary()]
-
-        def out(rows_: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_, strict=True), kinds, strict=True)], fields)
-
-        def sliced(texts: list[tuple[bytes, bool]], number: int, k: np.ndarray, c: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
-            more, n = _distinct(keys_of([t for t, o in texts if not o]))
-            held, _ = _distinct(keys_of([t for t, o in texts if o]))
-            k, c = _added(k, c, *_added(more, n.astype(np.uint32), held, np.zeros(len(held), np.uint32)))
-            sizes = np.fromiter((len(t) for t, _ in texts), np.int64, len(texts))
-            data = b"".join(t for t, _ in texts)
-            return out([(chunk, -3, number, len(data), None, len(texts), None, None, pa.Codec("zstd", compression_level=5).compress(data, asbytes=True), packed(sizes))]), k, c
-
-        def closed(k: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-            rows_ = []
+        kinds = dict(zip([f.split()[0] for f in _KIND.split(", ")], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary()], strict=True))
+
+        def out(some: int, **columns) -> pa.RecordBatch:
+            """A batch of so many rows of the chunk, with nulls in the other columns."""
+            columns["chunk"] = np.full(some, chunk)
+            return _batch(" ".join(kinds), *((x.cast(t) if isinstance(x := columns[c], pa.Array) else pa.array(x, t)) if c in columns else pa.nulls(some, t) for c, t in kinds.items()))
+
+        def with_more(k: np.ndarray, c: np.ndarray, learned: list[np.ndarray], held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            """The chunk's keys and counts with those of more texts; empties the lists."""
+            more, times = _distinct(_joined(learned))
+            k, c = _added(k, c, more, times) if len(k) else (more, times)
+            more, _ = _distinct(_joined(held))
+            return _added(k, c, more, np.zeros(len(more), np.uint32))
+
+        def closed(k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            parts, sizes, data, counts = [], [], [], []
             for p, own in _by_part(k):
                 key, n = (np.concatenate([x[s] for s in own]) for x in (k, c))
-                rows_.append((chunk, p, None, None, None, len(key), None, None, packed(np.diff(key, prepend=np.uint64(0))), packed(n)))
-            yield out(rows_)
+                parts.append(p)
+                sizes.append(len(key))
+                data.append(packed(np.diff(key, prepend=np.uint64(0))))
+                counts.append(packed(n))
+            return out(len(parts), part=parts, n=sizes, data=data, counts=counts)
 
         none = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-        texts, size, number, all_, (k, c) = [], 0, 0, 0, none
+        number, size, lot, learned, held, (k, c) = 0, 0, 0, [], [], none
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                rows_ = []
-                for uid, doc, is_out, text in zip(*(b.column(i).to_pylist() for i in range(3)), _texts(b.column(3)), strict=True):
-                    words = tokens(text)
-                    known, base = 0, 0.0
-                    for w, times in Counter(words).items():
-                        if (s := common.get(w)) is not None:
-                            known += times * s[0]
-                            base += times * s[1]
-                        else:
-                            rows_.append((chunk, -2, uid, None, None, times, None, None, w, None))
-                    data = running(words)
-                    rows_.append((chunk, -1, uid, doc, is_out, len(words), known, base, None, None))
-                    texts.append((data, is_out))
-                    size += len(data)
-                yield out(rows_)
-                if size >= min(SLICE, CHUNK):
-                    slice_, k, c = sliced(texts, number, k, c)
-                    yield slice_
-                    texts, size, number, all_ = [], 0, number + 1, all_ + size
-                if all_ >= CHUNK:
-                    yield from closed(k, c)
-                    number, all_, (k, c) = 0, 0, none
-                    chunk += 1
-        if texts:
-            slice_, k, c = sliced(texts, number, k, c)
-            yield slice_
-            all_ += size
-        if all_:
-            yield from closed(k, c)
+            for b in pieces_of(whole, 3, min(SLICE, CHUNK)):
+                spelled = split(b.column(3))
+                texts = joined(*spelled, b.num_rows)
+                here, own, of = numbered(*spelled, b.num_rows)
+                at = pc.fill_null(pc.index_in(here, words), len(words)).to_numpy(zero_copy_only=False)[own]
+                sums = {"n": np.bincount(of), "known": np.bincount(of, known[at]).astype(np.int64), "base": np.bincount(of, base[at])}
+                yield out(len(texts), part=np.full(len(texts), -1), uid=b.column(0), doc_id=b.column(1), held_out=b.column(2), **sums)
+                rare = at == len(words)
+                which, times = np.unique(of[rare] * len(here) + own[rare], return_counts=True)
+                of, own = np.divmod(which, len(here))
+                yield out(len(which), part=np.full(len(which), -2), uid=b.column(0).take(pa.array(of)), n=times, data=here.take(pa.array(own)))
+                outs = b.column(2).to_pylist()
+                for keys, kind in ((learned, False), (held, True)):
+                    keys.append(keys_of([t for t, o in zip(texts, outs, strict=True) if o == kind]))
+                sizes, data = np.fromiter(map(len, texts), np.int64, len(texts)), b"".join(texts)
+                yield out(1, part=[-3], uid=[number], doc_id=[len(data)], n=[len(texts)], data=[pa.Codec("zstd", compression_level=5).compress(data, asbytes=True)], counts=[packed(sizes)])
+                number, size, lot = number + 1, size + len(data), lot + len(data)
+                if lot >= SORTED or size >= CHUNK:
+                    (k, c), lot = with_more(k, c, learned, held), 0
+                if size >= CHUNK:
+                    yield closed(k, c)
+                    number, size, chunk, (k, c) = 0, 0, chunk + 1, none
+        if size:
+            if lot:
+                k, c = with_more(k, c, learned, held)
+            yield closed(k, c)
 
     return rows.mapInArrow(run, _KIND)
 
@@ -359,8 +440,7 @@ def scored(docs: DataFrame) -> DataFrame:
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out.alias("held_out"), "text")
-    words = ctw.word_counts(rows, []).select(F.expr("substring(word, 2)").alias("word"), F.col("c").alias("all"))
-    words = words_at = written(words, "words")
+    words = words_at = written(word_counts(rows), "words")
     release(docs.sparkSession)
     n, v = words.agg(F.coalesce(F.sum("all"), F.lit(0)), F.count_if(F.col("all") > 0)).first()
     words = words.select("word", (F.col("all") > 0).alias("known"), F.log10((F.col("all") + 1) / F.lit(float(n + v + 1))).alias("b"), F.floor(F.log2(F.greatest("all", F.lit(1))) * 16).alias("class"))
@@ -372,9 +452,9 @@ def scored(docs: DataFrame) -> DataFrame:
         least = c["class"]
     often = (F.col("class") >= F.lit(least)) if least is not None else F.lit(False)
     got = words.filter(often).select("word", "known", "b").toArrow()
-    common = dict(zip(got["word"].to_pylist(), zip(got["known"].to_pylist(), got["b"].to_pylist(), strict=True), strict=True))
+    common = got["word"].combine_chunks().cast(pa.large_binary()), got["known"].to_numpy(), got["b"].to_numpy()
 
-    gathered = _gathered(rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text"), common)
+    gathered = _gathered(rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text"), *common)
     gathered = written(gathered.withColumn("kind", F.expr("CASE WHEN part >= 0 THEN 0 WHEN part = -2 THEN 1 ELSE 2 END")), "gathered", "kind")  # keys, words, texts
     rest = gathered.filter("kind = 1").select("uid", F.col("data").alias("word"), F.col("n").alias("k"))
     rest = rest.join(words.filter(~often), "word").groupBy("uid").agg(F.sum(F.when(F.col("known"), F.col("k")).otherwise(0)).alias("more"), F.sum(F.col("k") * F.col("b")).alias("b"))
