@@ -169,3 +169,16 @@ def test_beam_search_is_no_worse_than_greedy():
         assert np.allclose(norms, (y**2).sum(axis=1), rtol=1e-3, atol=1e-3)
         err.append(((x - y) ** 2).sum(axis=1).mean())
     assert err[1] <= err[0]
+
+
+@pytest.mark.parametrize("kind", ["sizes", "groups"])
+def test_nearest_where_the_codes_do_not_tell_neighbours_apart(spark, kind):
+    """Vectors of very different sizes, and groups much smaller than what the codes leave: of the 20 nearest by code, few are true neighbours."""
+    rng, n = np.random.default_rng(4), 3000
+    x = rng.normal(size=(n, 32)) * (np.exp(2 * rng.normal(size=(n, 1))) if kind == "sizes" else 1)
+    if kind == "groups":
+        x[::2] = rng.normal(size=(3, 32))[rng.integers(0, 3, n // 2)] + 1e-3 * rng.normal(size=(n // 2, 32))
+    all_ = [(i, [float(v) for v in row]) for i, row in enumerate(x.astype(np.float32))]
+    got = ann.nearest(spark.createDataFrame(all_, "vec_id bigint, embedding array<float>").repartition(3), depth=20).collect()
+    want = [(i, r, j) for i, near in brute_nearest(all_) for r, (_, j) in enumerate(near, 1)]
+    assert np.mean([w in {(r.query_id, r.rank, r.vec_id) for r in got} for w in want]) >= 0.99
