@@ -10,12 +10,42 @@ import numpy as np
 #: Rows that seeding looks at, and candidates of which it takes the best for each word.
 SEEDED, CANDIDATES = 20_000, 7
 EPOCHS, BATCH, LLOYD, REFINE = 8, 8192, 25, 10
+#: Numbers that a matrix of rows by words, or of rows' outer products, has at once.
+NUMBERS = 1 << 20
 
 
 def _distances(x: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ words.T + (words**2).sum(axis=1), 0)
 
 
+def _own(x: np.ndarray, words: np.ndarray, costs) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's word of least cost, and the cost, for a slice of rows at a time."""
+    own, least, step = np.empty(len(x), np.int64), np.empty(len(x)), max(1, NUMBERS // len(words))
+    for at in range(0, len(x), step):
+        c = costs(x[at : at + step], words)
+        own[at : at + step] = c.argmin(axis=1)
+        least[at : at + step] = c[np.arange(len(c)), own[at : at + step]]
+    return own, least
+
+
+def _outer(u: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sum of outer products of the rows of each run; runs are summed some at a time, and one of many rows in slices."""
+    out, step = np.zeros((len(starts), u.shape[1], u.shape[1])), max(1, NUMBERS // u.shape[1] ** 2)
+    ends, i = np.append(starts[1:], len(u)), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + step, side="right")))
+        if ends[i] - starts[i] > step:
+            j = i + 1
+            for at in range(starts[i], ends[i], step):
+                some = u[at : min(at + step, ends[i])]
+                out[i] += some.T @ some
+        else:
+            some = u[starts[i] : ends[j - 1]]
+            out[i:j] = np.add.reduceat(some[:, :, None] * some[:, None, :], starts[i:j] - starts[i], axis=0)
+        i = j
+    return out
+
+
 def seeds(x: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
     """Greedy k-means++: each next word is, of a few rows drawn by squared distance, the one that leaves the least total."""
     if len(x) > SEEDED:
@@ -37,7 +67,7 @@ def epochs(x: np.ndarray, words: np.ndarray, rng: np.random.Generator) -> np.nda
     words, seen = words.copy(), np.zeros(len(words))
     for _ in range(EPOCHS):
         some = x[rng.choice(len(x), min(BATCH, len(x)), replace=False)]
-        own = _distances(some, words).argmin(axis=1)
+        own = _own(some, words, _distances)[0]
         n = np.bincount(own, minlength=len(words))
         sums = np.stack([np.bincount(own, some[:, j], len(words)) for j in range(x.shape[1])], axis=1)
         seen += n
@@ -50,12 +80,11 @@ def lloyd(x: np.ndarray, words: np.ndarray, rounds: int = LLOYD) -> np.ndarray:
     """Means of the nearest rows, until nothing moves; a word without rows takes the row that is farthest from its own."""
     words = words.copy()
     for _ in range(rounds):
-        d = _distances(x, words)
-        own = d.argmin(axis=1)
+        own, near = _own(x, words, _distances)
         n = np.bincount(own, minlength=len(words))
         new = np.stack([np.bincount(own, x[:, j], len(words)) for j in range(x.shape[1])], axis=1) / np.maximum(n, 1)[:, None]
         dead = np.flatnonzero(n == 0)
-        new[dead] = x[np.argsort(-d[np.arange(len(x)), own], kind="stable")[: len(dead)]]
+        new[dead] = x[np.argsort(-near, kind="stable")[: len(dead)]]
         if np.abs(new - words).max() < 1e-9:
             break
         words = new
@@ -75,14 +104,13 @@ def refine(x: np.ndarray, words: np.ndarray, eta: float, rounds: int = REFINE) -
     d = x.shape[1]
     unit = x / np.maximum(np.linalg.norm(x, axis=1), 1e-15)[:, None]
     for _ in range(rounds):
-        own = anisotropic_costs(x, words, eta).argmin(axis=1)
+        own = _own(x, words, lambda some, w: anisotropic_costs(some, w, eta))[0]
         if was is not None and (own == was).all():
             break
         was, order = own, np.argsort(own, kind="stable")
         n = np.bincount(own, minlength=len(words))
         met, starts = np.flatnonzero(n), (np.cumsum(n) - n)[n > 0]
-        outer = np.add.reduceat((unit[:, :, None] * unit[:, None, :])[order], starts, axis=0)
-        a = n[met, None, None] * np.eye(d) + (eta - 1) * outer + 1e-9 * np.eye(d)
+        a = n[met, None, None] * np.eye(d) + (eta - 1) * _outer(unit[order], starts) + 1e-9 * np.eye(d)
         b = np.add.reduceat(eta * x[order], starts, axis=0)
         words[met] = np.linalg.solve(a, b[:, :, None])[:, :, 0]
     return words
