@@ -83,9 +83,10 @@ def _scan(query_ids: np.ndarray, q: np.ndarray, scorer: Scorer, k: int, but_itse
                         x, y = np.concatenate([held[i][0], own]), np.concatenate([held[i][1], ids])
                         keep = best(x, y, k)
                         held[i] = (x[keep], y[keep])
-        rows = [(np.full(len(x), qid, np.int64), y, x) for qid, (x, y) in zip(query_ids, held, strict=True)]
-        if rows:
-            qid, ids, s = (np.concatenate([r[j] for r in rows]) for j in range(3))
+        for lo in range(0, len(q), TILE):
+            some = held[lo : lo + TILE]
+            qid = np.repeat(query_ids[lo : lo + TILE], [len(x) for x, _ in some])
+            s, ids = (np.concatenate([h[j] for h in some]) for j in range(2))
             own = s > -np.inf
             yield pa.RecordBatch.from_arrays([pa.array(qid[own]), pa.array(ids[own]), pa.array(s[own])], ["query_id", "id", "score"])
 
