@@ -17,6 +17,8 @@ LEAST = 64
 BASE = np.uint64(0x100000001B3)
 #: Members of a bucket that are compared at once; larger buckets are split, and every two blocks meet.
 BLOCK = 512
+#: Texts that are taken from a batch at once, and hashes that are permuted at once, unless one text has more: both fit a core's cache.
+TEXTS, HASHES = 256, 1 << 13
 
 
 def exact_groups(bodies: DataFrame, body: str = "text", key: str = "doc_id") -> DataFrame:
@@ -53,16 +55,32 @@ def signatures(rows: DataFrame, seed: int = 1337) -> DataFrame:
     a = rng.integers(0, 2**63, SLOTS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
     b = rng.integers(0, 2**63, SLOTS, dtype=np.uint64)
 
+    def least(hashes: list[np.ndarray]) -> np.ndarray:
+        """[text, slot]: one permutation at a time, over the hashes of some texts."""
+        flat, ends = np.concatenate(hashes), np.cumsum([len(h) for h in hashes])
+        starts, room, out = ends - [len(h) for h in hashes], np.empty_like(flat), np.empty((SLOTS, len(hashes)), np.uint64)
+        for i in range(SLOTS):
+            np.multiply(flat, a[i], out=room)
+            np.add(room, b[i], out=room)
+            np.minimum.reduceat(room, starts, out=out[i])
+        return out.T >> np.uint64(1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                h = shingle_hashes((text or "").encode())
-                least = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
-                for at in range(0, len(h), 4096):
-                    least = np.minimum(least, (h[None, at : at + 4096] * a[:, None] + b[:, None]).min(axis=1))
-                out.append((least >> np.uint64(1)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tolist() for s in out], pa.list_(pa.int64()))], ["id", "signature"])
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                out, held, n = [], [], 0
+                for text in part.column(1).to_pylist():
+                    h = shingle_hashes((text or "").encode())
+                    if held and n + len(h) > HASHES:
+                        out.append(least(held))
+                        held, n = [], 0
+                    held.append(h)
+                    n += len(h)
+                out.append(least(held))
+                flat = pa.array(np.concatenate(out).astype(np.int64).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SLOTS, dtype=np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "signature"])
 
     return rows.select("id", "text").mapInArrow(run, "id bigint, signature array<bigint>")
 
